@@ -12,14 +12,16 @@ from shelfvoice.schema import NEGATIVE_MAX, NEUTRAL_MAX
 _NUMBER = r"^[ \t-\r]*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?[ \t-\r]*$"
 _INFINITY = r"^[ \t-\r]*[+-]?(?i:inf(inity)?)[ \t-\r]*$"
 
+# Accepted date formats besides ISO, each with the shape of text it
+# is tried on. A failed attempt is costly, so text of another shape skips it.
 DATE_FORMATS = (
-    "yyyy/M/d",
-    "yyyy/M/d H:mm:ss",
-    "M/d/yyyy",
-    "M/d/yyyy H:mm:ss",
-    "MMMM d, yyyy",
-    "MMM d, yyyy",
-    "d MMMM yyyy",
+    ("yyyy/M/d", r"^\d{4}/\d{1,2}/\d{1,2}$"),
+    ("yyyy/M/d H:mm:ss", r"^\d{4}/\d{1,2}/\d{1,2} \d{1,2}:\d\d:\d\d$"),
+    ("M/d/yyyy", r"^\d{1,2}/\d{1,2}/\d{4}$"),
+    ("M/d/yyyy H:mm:ss", r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d\d:\d\d$"),
+    ("MMMM d, yyyy", r"^[A-Z][a-z]+ \d{1,2}, \d{4}$"),
+    ("MMM d, yyyy", r"^[A-Z][a-z]{2} \d{1,2}, \d{4}$"),
+    ("d MMMM yyyy", r"^\d{1,2} [A-Z][a-z]+ \d{4}$"),
 )
 
 
@@ -39,10 +41,15 @@ def drop_nan(c: Column) -> Column:
     return F.when(~F.isnan(c), c)
 
 
-def coerce_date(c: Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
-    """Text to timestamp without zone; unreadable values become NULL."""
+def coerce_date(c: Column, formats: Sequence[tuple[str, str]] = DATE_FORMATS) -> Column:
+    """Text to timestamp without zone; unreadable values become NULL.
+
+    ``formats`` pairs each format with a pattern of the texts to try it on.
+    """
     attempts = [c.try_cast("timestamp_ntz")]
-    attempts += [F.try_to_timestamp(c, F.lit(f)).cast("timestamp_ntz") for f in formats]
+    for fmt, shape in formats:
+        parsed = F.try_to_timestamp(c, F.lit(fmt)).cast("timestamp_ntz")
+        attempts.append(F.when(c.rlike(shape), parsed))
     return F.coalesce(*attempts)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from shelfvoice.schema import CHUNK_CHARS, GROUP_SEPARATOR, MIN_WORD_LENGTH
+from shelfvoice.schema import CHUNK_CHARS, GROUP_SEPARATOR
 
 # Every character Unicode counts as white space, from the rule itself.
 WHITESPACE = "".join(ch for ch in map(chr, range(0x3001)) if ch.isspace())
@@ -32,13 +32,17 @@ ERROR_CLASSES = [
 ]
 # ---------------------------------------------------------------------------
 
-_WORD_BREAK = r"[^\p{L}\p{N}_]+"
-_PLAIN_WORD = "^[a-z0-9]+$"
+_WORD_CHARACTER = r"[\p{L}\p{N}_]"
 
 
 def trim_text(c: Column) -> Column:
-    """Strip Unicode white space at both ends; NULL stays NULL."""
-    return F.btrim(c, F.lit(WHITESPACE))
+    """Strip Unicode white space at both ends; NULL stays NULL.
+
+    Most texts have none, which a look at both end characters settles.
+    """
+    space = F.lit(WHITESPACE)
+    at_an_end = F.contains(space, F.left(c, F.lit(1))) | F.contains(space, F.right(c, F.lit(1)))
+    return F.when(at_an_end, F.btrim(c, space)).otherwise(c)
 
 
 def blank_to_null(c: Column) -> Column:
@@ -58,23 +62,19 @@ def group_key(*parts: Column) -> Column:
     return F.concat(*pieces)
 
 
-def word_runs(c: Column) -> Column:
-    """Runs of word characters of the lower-cased text, unfiltered."""
-    return F.split(F.lower(c), _WORD_BREAK)
-
+def plain_words(c: Column, min_length: int = 1) -> Column:
+    """Runs of ASCII letters and digits of the lower-cased text, in order.
 
-def is_plain_word(c: Column) -> Column:
-    """A run counts only if all of it is ASCII letters and digits."""
-    return c.rlike(_PLAIN_WORD)
+    A run that touches another letter, digit or underscore (``café``,
+    ``foo_bar``) is no word, nor is any part of it.
+    """
+    run = rf"(?<!{_WORD_CHARACTER})[a-z0-9]{{{min_length},}}+(?!{_WORD_CHARACTER})"
+    return F.regexp_extract_all(F.lower(c), F.lit(run), F.lit(0))
 
 
 def tokenise(c: Column) -> Column:
-    """Plain words of a text in order; missing text has none."""
-    return F.coalesce(F.filter(word_runs(c), is_plain_word), F.array().cast("array<string>"))
-
-
-def long_enough(word: Column) -> Column:
-    return F.length(word) >= MIN_WORD_LENGTH
+    """Words of a text; missing text has none."""
+    return F.coalesce(plain_words(c), F.array().cast("array<string>"))
 
 
 def contains_ci(lower_text: Column, keyword: str) -> Column:

@@ -18,7 +18,7 @@ def project_required(df: DataFrame) -> DataFrame:
     return df.select(*REQUIRED)
 
 
-def coerce_types(df: DataFrame, date_formats: Sequence[str] = DATE_FORMATS) -> DataFrame:
+def coerce_types(df: DataFrame, date_formats: Sequence[tuple[str, str]] = DATE_FORMATS) -> DataFrame:
     """``Rating`` to double and ``Date`` to timestamp; bad values become NULL."""
     rating, date = F.col("Rating"), F.col("Date")
     kind = df.schema["Rating"].dataType

@@ -151,8 +151,29 @@ def _value(status: Column, value: Column, head: Column) -> Column:
     return F.when(status.isNull(), F.lit("")).when(status == "failed", failed).otherwise(value)
 
 
-def _attach(df: DataFrame, requests: dict[str, tuple[Column, Column]], outcome: DataFrame, id_col: str) -> Enriched:
-    """Join outcomes back. ``requests`` maps a new column to its key (NULL if blank) and text.
+@dataclass(frozen=True)
+class _Request:
+    """Names of the new column and of the helper columns that ask for it."""
+
+    target: str
+    key: str  # NULL where the source is blank
+    text: str  # what is sent
+    shown: str  # what a failure shows
+
+
+def _distinct_work(keyed: DataFrame, requests: list[_Request]) -> DataFrame:
+    """Distinct ``(cache_key, text)`` of all requests; copies meet before the shuffle."""
+    if len(requests) == 1:
+        [r] = requests
+        asked = keyed.select(F.col(r.key).alias("cache_key"), F.col(r.text).alias("text"))
+    else:
+        pairs = F.array(*[F.struct(F.col(r.key).alias("cache_key"), F.col(r.text).alias("text")) for r in requests])
+        asked = keyed.select(F.explode(pairs).alias("p")).select("p.*")
+    return asked.distinct().filter("cache_key IS NOT NULL")
+
+
+def _attach(keyed: DataFrame, columns: list[str], requests: list[_Request], outcome: DataFrame, id_col: str) -> Enriched:
+    """Join outcomes back to the rows, of which ``columns`` are kept.
 
     A copied text may stand for a large part of the rows, so the join splits hot
     keys by row id. One column is joined straight to the rows. Several columns
@@ -165,33 +186,30 @@ def _attach(df: DataFrame, requests: dict[str, tuple[Column, Column]], outcome:
         F.col("error_class").alias("_error"),
     )
     answer = _value(F.col("_status"), F.col("_value"), F.col("_head"))
-    outcome_columns = [
+    log_columns = [
         F.col("_key").alias("cache_key"),
         F.coalesce("_status", F.lit("blank")).alias("status"),
         F.col("_error").alias("error_class"),
     ]
+    kept = [F.col(f"`{c}`") for c in columns]
+
+    def head(r: _Request) -> Column:
+        return preview_text(F.col(r.shown), ERROR_PREVIEW_CHARS).alias("_head")
+
     if len(requests) == 1:
-        [(name, (key, text))] = requests.items()
-        asked = df.withColumns({"_key": key, "_head": preview_text(text, ERROR_PREVIEW_CHARS)})
+        [r] = requests
+        asked = keyed.select(*kept, F.col(r.key).alias("_key"), head(r))
         answered = lookup_left(asked, found, "_key", F.col(id_col))
-        rows = answered.select(*[F.col(f"`{c}`") for c in df.columns], answer.alias(name))
-        return Enriched(rows, answered.select(id_col, F.lit(name).alias("target"), *outcome_columns))
-    pairs = F.array(
-        *[
-            F.struct(
-                F.lit(name).alias("target"),
-                key.alias("_key"),
-                preview_text(text, ERROR_PREVIEW_CHARS).alias("_head"),
-            )
-            for name, (key, text) in requests.items()
-        ]
-    )
-    asked = df.select(id_col, F.explode(pairs).alias("p")).select(id_col, "p.*")
+        rows = answered.select(*kept, answer.alias(r.target))
+        return Enriched(rows, answered.select(id_col, F.lit(r.target).alias("target"), *log_columns))
+    pairs = F.array(*[F.struct(F.lit(r.target).alias("target"), F.col(r.key).alias("_key"), head(r)) for r in requests])
+    asked = keyed.select(id_col, F.explode(pairs).alias("p")).select(id_col, "p.*")
     answered = lookup_left(asked, found, "_key", F.struct(id_col, "target"))
     per_row = answered.groupBy(id_col).agg(
-        *[F.max(F.when(F.col("target") == name, answer)).alias(name) for name in requests]
+        *[F.max(F.when(F.col("target") == r.target, answer)).alias(r.target) for r in requests]
     )
-    return Enriched(df.join(per_row, id_col, "left"), answered.select(id_col, "target", *outcome_columns))
+    rows = keyed.select(*kept).join(per_row, id_col, "left")
+    return Enriched(rows, answered.select(id_col, "target", *log_columns))
 
 
 def enrich_columns(
@@ -217,15 +235,14 @@ def enrich_columns(
     """
     columns = list(columns)
     require_columns(df, [id_col, *columns])
-    texts = {c: normalise_text(F.col(f"`{c}`")) for c in columns}
-    keys = {c: cache_key(t, F.lit(engine), F.lit(source), F.lit(target)) for c, t in texts.items()}
-    spoken = {c: nonblank(F.col(f"`{c}`")) for c in columns}
-    pairs = F.array(*[F.when(spoken[c], F.struct(keys[c].alias("cache_key"), texts[c].alias("text"))) for c in columns])
-    work = df.select(F.explode(pairs).alias("p")).filter("p IS NOT NULL").select("p.*").distinct()
-    work = work.withColumn("pieces", chunk_text(F.col("text")))
+    requests = [_Request(f"{c}{suffix}", f"_key{i}", f"_text{i}", f"_text{i}") for i, c in enumerate(columns)]
+    # Two steps, so that the text is normalised once and not inside each use.
+    keyed = df.withColumns({r.text: normalise_text(F.col(f"`{c}`")) for r, c in zip(requests, columns)})
+    parts = [F.lit(engine), F.lit(source), F.lit(target)]
+    keyed = keyed.withColumns({r.key: F.when(F.col(r.text) != "", cache_key(F.col(r.text), *parts)) for r in requests})
+    work = _distinct_work(keyed, requests).withColumn("pieces", chunk_text(F.col("text")))
     outcome = _resolve(work, fn, clean_output, options, cache, cache_path, now, ttl_days)
-    requests = {f"{c}{suffix}": (F.when(spoken[c], keys[c]), texts[c]) for c in columns}
-    return _attach(df, requests, outcome, id_col)
+    return _attach(keyed, df.columns, requests, outcome, id_col)
 
 
 def label_columns(
@@ -247,18 +264,19 @@ def label_columns(
     """
     tasks = list(tasks)
     require_columns(df, [id_col, *[t.source_col for t in tasks]])
-    requests, pairs = {}, []
-    for task in tasks:
+    requests, prompts, keys = [], {}, {}
+    for i, task in enumerate(tasks):
+        request = _Request(task.col_name, f"_key{i}", f"_prompt{i}", f"_source{i}")
         text = F.col(f"`{task.source_col}`").cast("string")
-        prompt = render_prompt(F.lit(task.prompt), text)
-        key = cache_key(text, prompt, F.lit(model))
-        spoken = nonblank(text)
-        requests[task.col_name] = (F.when(spoken, key), text)
-        pairs.append(F.when(spoken, F.struct(key.alias("cache_key"), prompt.alias("text"))))
-    work = df.select(F.explode(F.array(*pairs)).alias("p")).filter("p IS NOT NULL").select("p.*").distinct()
-    work = work.withColumn("pieces", F.array("text"))
+        prompts[request.shown] = text
+        prompts[request.text] = render_prompt(F.lit(task.prompt), text)
+        key = cache_key(F.col(request.shown), F.col(request.text), F.lit(model))
+        keys[request.key] = F.when(nonblank(F.col(request.shown)), key)
+        requests.append(request)
+    keyed = df.withColumns(prompts).withColumns(keys)
+    work = _distinct_work(keyed, requests).withColumn("pieces", F.array("text"))
     outcome = _resolve(work, fn, trim_text, options, cache, cache_path, now, ttl_days)
-    return _attach(df, requests, outcome, id_col)
+    return _attach(keyed, df.columns, requests, outcome, id_col)
 
 
 def read_through(

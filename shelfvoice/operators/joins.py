@@ -14,12 +14,12 @@ BROADCAST_MAX_ROWS = 2_000_000
 BROADCAST_MAX_BYTES = 64 * 1024 * 1024
 
 
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, max_bytes: int = BROADCAST_MAX_BYTES) -> bool:
+def fits_broadcast(df: DataFrame) -> bool:
     """Measure the small side: its rows first, its bytes only if the rows fit."""
-    if df.count() > max_rows:
+    if df.count() > BROADCAST_MAX_ROWS:
         return False
     width = sum((F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) + 16 for c in df.columns), F.lit(0))
-    return (df.agg(F.sum(width)).first()[0] or 0) <= max_bytes
+    return (df.agg(F.sum(width)).first()[0] or 0) <= BROADCAST_MAX_BYTES
 
 
 def _pieces(df: DataFrame) -> int:

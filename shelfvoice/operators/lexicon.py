@@ -181,11 +181,23 @@ def flag_filter(flagged: DataFrame, main: str, sub: str) -> DataFrame:
     return flagged.filter(F.col(f"`{flag_name(main, sub)}`"))
 
 
+def _each_keyword(df: DataFrame, keywords: list[str], column: str, *carried: str) -> DataFrame:
+    """One row per text and keyword held, with the carried columns.
+
+    The array is built inside ``explode``: exploding it as a column would make
+    Catalyst filter on its size first, which matches every text twice.
+    """
+    if len(set(keywords)) <= EXPRESSION_KEYWORDS:
+        low = df.select(*carried, F.lower(F.col(column)).alias("_low"))
+        held = _held_keywords(F.col("_low"), sorted(set(keywords)))
+        return low.select(*carried, F.explode(held).alias("keyword"))
+    matched = add_matches(df.select(*carried, column), keywords, column, "_held")
+    return matched.select(*carried, F.explode(F.array_compact("_held")).alias("keyword"))
+
+
 def lexicon_join(df: DataFrame, lexicon: Lexicon, column: str = "Content", id_col: str = "ID") -> DataFrame:
     """One row per review, category and keyword held."""
-    pairs = add_matches(df.select(id_col, column), lexicon.keywords, column, "_held").select(
-        id_col, F.explode("_held").alias("keyword")
-    )
+    pairs = _each_keyword(df, lexicon.keywords, column, id_col)
     return pairs.join(F.broadcast(lexicon_table(df.sparkSession, lexicon)), "keyword").select(
         id_col, "main", "sub", "keyword"
     )
@@ -215,7 +227,8 @@ def category_stats(df: DataFrame, lexicon: Lexicon, column: str = "Content") ->
             for i, (m, s) in enumerate(categories)
         ]
     )
-    return counts.select("_n", F.explode(rows).alias("r")).select(
+    typed = rows.cast("array<struct<main:string,sub:string,matched:bigint>>")
+    return counts.select("_n", F.explode(typed).alias("r")).select(
         "r.main",
         "r.sub",
         "r.matched",
@@ -226,8 +239,7 @@ def category_stats(df: DataFrame, lexicon: Lexicon, column: str = "Content") ->
 
 def keyword_counts(df: DataFrame, keywords: list[str], column: str = "Content") -> DataFrame:
     """Reviews that hold each keyword; keywords held by none are absent."""
-    held = add_matches(df.select(column), keywords, column, "_held")
-    return held.select(F.explode("_held").alias("keyword")).groupBy("keyword").agg(F.count(F.lit(1)).alias("n"))
+    return _each_keyword(df, keywords, column).groupBy("keyword").agg(F.count(F.lit(1)).alias("n"))
 
 
 def keyword_frequency(df: DataFrame, lexicon: Lexicon, column: str = "Content") -> DataFrame:
@@ -266,25 +278,24 @@ def match_summary(matched: DataFrame) -> DataFrame:
 
 
 def match_by_rating(matched: DataFrame) -> DataFrame:
-    """Matched reviews of each rating and the mean number of keywords they hold."""
-    return (
-        matched_only(matched)
-        .filter("Rating IS NOT NULL")
-        .groupBy("Rating")
-        .agg(F.count(F.lit(1)).alias("n_reviews"), half_even(F.avg("Match_Count")).alias("avg_matches"))
+    """Matched reviews of each rating and the mean number of keywords they hold.
+
+    Unmatched reviews are left out by the aggregates, not by a filter, which
+    would be pushed below the matching and repeat it.
+    """
+    counts = matched.groupBy("Rating").agg(
+        F.count_if(F.col("Match_Count") > 0).alias("n_reviews"), F.sum("Match_Count").alias("_n")
+    )
+    return counts.filter("Rating IS NOT NULL AND n_reviews > 0").select(
+        "Rating", "n_reviews", half_even(F.col("_n") / F.col("n_reviews")).alias("avg_matches")
     )
 
 
 def match_keyword_counts(matched: DataFrame) -> DataFrame:
-    return (
-        matched.select(F.explode("Matches").alias("keyword")).groupBy("keyword").agg(F.count(F.lit(1)).alias("n"))
-    )
+    """Reviews by keyword over the matched arrays."""
+    each = matched.select(F.explode(F.array_compact("Matches")).alias("keyword"))
+    return each.groupBy("keyword").agg(F.count(F.lit(1)).alias("n"))
 
 
 def match_rating_counts(matched: DataFrame) -> DataFrame:
-    return (
-        matched_only(matched)
-        .filter("Rating IS NOT NULL")
-        .groupBy("Rating")
-        .agg(F.count(F.lit(1)).alias("n_reviews"))
-    )
+    return match_by_rating(matched).select("Rating", "n_reviews")

@@ -33,18 +33,22 @@ def ids_in_file_order(df: DataFrame, id_col: str = "ID") -> DataFrame:
     return df.join(starts, FILE_COLUMN).withColumn(id_col, F.col("_before") + F.col(ROW_COLUMN) + 1).drop("_before")
 
 
-def assign_row_ids(df: DataFrame, order_by: list[str | Column], id_col: str = "ID") -> DataFrame:
+def assign_row_ids(
+    df: DataFrame, order_by: list[str | Column], id_col: str = "ID", keep: list[str] | None = None
+) -> DataFrame:
     """Ids in the order of ``order_by``, equal to a global ``row_number``.
 
+    ``keep`` names the columns of the result (default all), so that columns only
+    needed for the order are not written.
+
     Range partitions are sorted and written once; the id is the place inside the
     partition plus the rows of the partitions before it. Rows that tie are
     ordered by a hash of the whole row, which also splits large groups of ties.
     """
+    kept = [F.col(f"`{c}`") for c in keep or df.columns]
     keys = [*order_by, F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])]
-    placed = stage(
-        df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_slot", F.monotonically_increasing_id()),
-        "row-ids",
-    )
+    ordered = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    placed = stage(ordered.select(*kept, F.monotonically_increasing_id().alias("_slot")), "row-ids")
     part = F.shiftright("_slot", _SLOT_BITS)
     sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
     starts = _running_start(sizes, "_part").select("_part", "_before")
@@ -53,5 +57,5 @@ def assign_row_ids(df: DataFrame, order_by: list[str | Column], id_col: str = "I
     return (
         placed.withColumn("_part", part)
         .join(F.broadcast(starts), "_part")
-        .select((F.col("_before") + offset + 1).alias(id_col), *[F.col(f"`{c}`") for c in df.columns])
+        .select((F.col("_before") + offset + 1).alias(id_col), *kept)
     )

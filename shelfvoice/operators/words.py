@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from shelfvoice.functions.text import is_plain_word, long_enough, tokenise, trim_text, word_runs
+from shelfvoice.functions.text import plain_words, tokenise, trim_text
 from shelfvoice.operators.joins import fits_broadcast
-from shelfvoice.schema import CLOUD_SIZE, WORD_TABLE_SIZE
+from shelfvoice.schema import CLOUD_SIZE, MIN_WORD_LENGTH, WORD_TABLE_SIZE
 
 
 def default_stop_words(spark: SparkSession) -> DataFrame:
@@ -58,15 +58,11 @@ def word_freq(
 ) -> DataFrame:
     """How often each word of three or more characters occurs.
 
-    Words are counted before the lists are applied: the lists then meet the
-    vocabulary rather than every word of every review.
+    The lists apply to counts, one row per word. Catalyst may still test a
+    broadcast list before it counts; a longer list meets the vocabulary only.
     """
-    runs = df.select(F.explode(word_runs(F.col(column))).alias("word"))
-    counts = (
-        runs.filter(long_enough(F.col("word")) & is_plain_word(F.col("word")))
-        .groupBy("word")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    words = df.select(F.explode(plain_words(F.col(column), MIN_WORD_LENGTH)).alias("word"))
+    counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     if stop is not None:
         counts = without(counts, stop_tokens(stop))
     if negative is not None:

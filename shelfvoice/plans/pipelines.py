@@ -19,7 +19,7 @@ from shelfvoice.sources.readers import FILE_COLUMN, POSITION_COLUMNS
 def number_rows(raw: DataFrame, order_by: list[str] | None) -> DataFrame:
     """Add ``ID`` in the given order, or in input order if the scan kept its position."""
     if order_by is not None:
-        return assign_row_ids(raw, order_by)
+        return assign_row_ids(raw, order_by, keep=REQUIRED)
     if FILE_COLUMN not in raw.columns:
         raise ValueError("name order_by, or read the table with its position")
     return ids_in_file_order(raw)
@@ -31,7 +31,7 @@ def process_reviews(
     *,
     order_by: list[str] | None = None,
     brand_order: Sequence[str] = tuple(POSITION_COLUMNS),
-    date_formats: Sequence[str] = DATE_FORMATS,
+    date_formats: Sequence[tuple[str, str]] = DATE_FORMATS,
 ) -> DataFrame:
     """Raw review table to processed table.
 

@@ -13,6 +13,7 @@ from shelfvoice.functions.numbers import rating_bucket
 from shelfvoice.operators.brands import join_brands
 from shelfvoice.operators.lexicon import normalise_lexicon
 from shelfvoice.schema import REVIEW_TYPE
+from shelfvoice.sources.readers import POSITION_COLUMNS, spread_small, with_position
 
 LINE_ORDER = [
     "l_orderkey",
@@ -40,7 +41,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def line_reviews_raw(spark: SparkSession, sf: str) -> DataFrame:
     """Order lines as raw text reviews, some with a bad rating or date."""
-    li = table(spark, sf, "lineitem")
+    li = spread_small(table(spark, sf, "lineitem"))
     rating = F.ceil(F.col("l_quantity") / 10).cast("int").cast("string")
     return li.select(
         F.concat(F.lit(" A"), F.col("l_partkey").cast("string"), F.lit(" ")).alias("Asin"),
@@ -57,7 +58,8 @@ def line_reviews_raw(spark: SparkSession, sf: str) -> DataFrame:
 
 def order_reviews_raw(spark: SparkSession, sf: str) -> DataFrame:
     """Orders as raw reviews in file order."""
-    orders = table(spark, sf, "orders").select("*", "_metadata.file_path", "_metadata.row_index")
+    orders = with_position(table(spark, sf, "orders"), "parquet")
+    orders = spread_small(orders)
     return orders.select(
         F.concat(F.lit("A"), F.col("o_custkey").cast("string")).alias("Asin"),
         F.col("o_orderpriority").alias("Title"),
@@ -65,9 +67,7 @@ def order_reviews_raw(spark: SparkSession, sf: str) -> DataFrame:
         F.col("o_orderstatus").alias("Model"),
         F.ceil(F.col("o_totalprice") / 100000).cast("string").alias("Rating"),
         F.date_format("o_orderdate", "yyyy/M/d").alias("Date"),
-        F.col("file_path").alias("_file"),
-        F.lit(0).cast("long").alias("_split"),
-        F.col("row_index").alias("_row"),
+        *POSITION_COLUMNS,
     )
 
 
@@ -110,7 +110,7 @@ def branded_reviews(spark: SparkSession, sf: str) -> DataFrame:
 
 def text_reviews(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as reviews; many have no rating, some no date."""
-    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    docs, labels = spread_small(table(spark, sf, "documents")), table(spark, sf, "labels")
     rating = (
         F.when(F.col("quality").isNull(), None)
         .when((F.col("quality") == 1) & (F.col("toxic") == 0), 5.0)

@@ -41,6 +41,21 @@ def with_position(df: DataFrame, fmt: str) -> DataFrame:
     )
 
 
+SMALL_TABLE_ROWS = 1_000_000
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """Deal a small table out over the cores before work that is heavy per row.
+
+    A file with one row group is one task however many cores there are. Larger
+    tables have row groups enough and pass through without a shuffle. Parquet
+    counts rows from its footers.
+    """
+    if df.count() > SMALL_TABLE_ROWS:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def read_reviews(spark: SparkSession, path: str, fmt: str = "csv", position: bool = True) -> DataFrame:
     """Raw review table: checked for its columns, cut down to them.
 
