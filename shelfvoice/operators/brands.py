@@ -33,16 +33,19 @@ def brand_lookup(brands: DataFrame, order_by: list[str]) -> DataFrame:
     """
     last = dedupe_brands(normalise_brands(brands), order_by)
     none = F.lit(None).cast("string")
-    own = last.select(F.col("ASIN").alias("Asin"), F.col("Brand").alias("direct"), none.alias("parent"))
-    if PARENT_ASIN not in brands.columns:
-        return own.filter("Asin IS NOT NULL")
-    via_parent = (
-        last.groupBy(F.col(f"`{PARENT_ASIN}`").alias("Asin"))
-        .agg(F.max_by("Brand", F.struct(*order_by)).alias("parent"))
-        .select("Asin", none.alias("direct"), "parent")
+    own = F.struct(F.col("ASIN").alias("Asin"), F.col("Brand").alias("direct"), none.alias("inherited"))
+    entries = [own]
+    if PARENT_ASIN in brands.columns:
+        parent = F.col(f"`{PARENT_ASIN}`").alias("Asin")
+        entries.append(F.struct(parent, none.alias("direct"), F.col("Brand").alias("inherited")))
+    keyed = last.select(F.posexplode(F.array(*entries)).alias("via_parent", "e"), F.struct(*order_by).alias("at"))
+    # A product has one own row; of its children the last one names the brand.
+    at_parent = F.when(F.col("via_parent") == 1, F.col("at"))
+    return (
+        keyed.filter("e.Asin IS NOT NULL")
+        .groupBy(F.col("e.Asin").alias("Asin"))
+        .agg(F.max("e.direct").alias("direct"), F.max_by("e.inherited", at_parent).alias("parent"))
     )
-    both = own.unionByName(via_parent).filter("Asin IS NOT NULL")
-    return both.groupBy("Asin").agg(F.max("direct").alias("direct"), F.max("parent").alias("parent"))
 
 
 def join_brands(

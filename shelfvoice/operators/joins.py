@@ -15,11 +15,10 @@ BROADCAST_MAX_BYTES = 64 * 1024 * 1024
 
 
 def fits_broadcast(df: DataFrame) -> bool:
-    """Measure the small side: its rows first, its bytes only if the rows fit."""
-    if df.count() > BROADCAST_MAX_ROWS:
-        return False
+    """Measure rows and bytes of the small side in one aggregation."""
     width = sum((F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) + 16 for c in df.columns), F.lit(0))
-    return (df.agg(F.sum(width)).first()[0] or 0) <= BROADCAST_MAX_BYTES
+    size = df.agg(F.count(F.lit(1)).alias("n"), F.sum(width).alias("b")).first()
+    return size.n <= BROADCAST_MAX_ROWS and (size.b or 0) <= BROADCAST_MAX_BYTES
 
 
 def _pieces(df: DataFrame) -> int:

@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from shelfvoice.functions.numbers import half_even, percent
 from shelfvoice.functions.text import contains_ci, trim_text
 from shelfvoice.schema import CATEGORIES_SHOWN, KEYWORDS_SHOWN, REVIEW_TYPE, TRANSLATED_NAMES
+from shelfvoice.sources.readers import literal_table
 
 # Above this many keywords one automaton pass beats one substring test each.
 EXPRESSION_KEYWORDS = 200
@@ -34,7 +35,7 @@ AUTOMATON_KEYWORDS = 100_000
 def lexicon_from_spec(spark: SparkSession, spec: dict[str, dict[str, str]]) -> DataFrame:
     """Nested ``{main: {sub: "kw,kw"}}`` as ``(main, sub, keywords)``."""
     rows = [(main, sub, kws) for main, subs in spec.items() for sub, kws in subs.items()]
-    return spark.createDataFrame(rows, "main string, sub string, keywords string")
+    return literal_table(spark, rows, ["main", "sub", "keywords"])
 
 
 def normalise_lexicon(raw: DataFrame) -> DataFrame:
@@ -105,9 +106,7 @@ def _held_keywords(lower_text: Column, keywords: list[str]) -> Column:
 def _with_automaton(df: DataFrame, column: str, keywords: list[str], out: str) -> DataFrame:
     """Array of held keywords from an Aho-Corasick automaton, Arrow batch by batch."""
     # Case is folded by Spark on both sides, so that both agree.
-    lowered = df.sparkSession.createDataFrame([(k,) for k in keywords], "k string").select(
-        "k", F.lower("k").alias("low")
-    )
+    lowered = literal_table(df.sparkSession, [(k,) for k in keywords], ["k"]).select("k", F.lower("k").alias("low"))
     by_low: dict[str, list[str]] = {}
     for row in lowered.collect():
         by_low.setdefault(row.low, []).append(row.k)
@@ -204,7 +203,7 @@ def lexicon_join(df: DataFrame, lexicon: Lexicon, column: str = "Content", id_co
 
 
 def lexicon_table(spark: SparkSession, lexicon: Lexicon) -> DataFrame:
-    return spark.createDataFrame(list(lexicon.entries), "main string, sub string, keyword string")
+    return literal_table(spark, list(lexicon.entries), ["main", "sub", "keyword"])
 
 
 # ------------------------------------------------------------ statistics

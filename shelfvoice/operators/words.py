@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from shelfvoice.functions.text import plain_words, tokenise, trim_text
 from shelfvoice.operators.joins import fits_broadcast
 from shelfvoice.schema import CLOUD_SIZE, MIN_WORD_LENGTH, WORD_TABLE_SIZE
+from shelfvoice.sources.readers import literal_table
 
 
 def default_stop_words(spark: SparkSession) -> DataFrame:
     """Spark's own English stop list as ``(word)``."""
-    return spark.createDataFrame([(w,) for w in StopWordsRemover.loadDefaultStopWords("english")], "word string")
+    return literal_table(spark, [(w,) for w in StopWordsRemover.loadDefaultStopWords("english")], ["word"])
 
 
 def union_words(*lists: DataFrame) -> DataFrame:

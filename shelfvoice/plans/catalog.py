@@ -230,7 +230,7 @@ def tokenise(spark, sf):
 
 def word_freq_negative(spark, sf):
     negative = V.split_words(T.part_lexicon_raw(spark, sf), "keywords").union(
-        spark.createDataFrame([("thing",), ("heed",)], "word string")
+        readers.literal_table(spark, [("thing",), ("heed",)], ["word"])
     )
     return V.word_freq(Q.of_review_type(T.text_reviews(spark, sf), "Positive"), T.stop_words(spark), negative)
 

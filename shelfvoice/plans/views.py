@@ -13,7 +13,7 @@ from shelfvoice.functions.numbers import rating_bucket
 from shelfvoice.operators.brands import join_brands
 from shelfvoice.operators.lexicon import normalise_lexicon
 from shelfvoice.schema import REVIEW_TYPE
-from shelfvoice.sources.readers import POSITION_COLUMNS, spread_small, with_position
+from shelfvoice.sources.readers import POSITION_COLUMNS, literal_table, spread_small, with_position
 
 LINE_ORDER = [
     "l_orderkey",
@@ -59,7 +59,6 @@ def line_reviews_raw(spark: SparkSession, sf: str) -> DataFrame:
 def order_reviews_raw(spark: SparkSession, sf: str) -> DataFrame:
     """Orders as raw reviews in file order."""
     orders = with_position(table(spark, sf, "orders"), "parquet")
-    orders = spread_small(orders)
     return orders.select(
         F.concat(F.lit("A"), F.col("o_custkey").cast("string")).alias("Asin"),
         F.col("o_orderpriority").alias("Title"),
@@ -132,7 +131,7 @@ def text_reviews(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def lexicon_raw(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(LEXICON_ROWS, "main string, sub string, keywords string")
+    return literal_table(spark, LEXICON_ROWS, ["main", "sub", "keywords"])
 
 
 def lexicon(spark: SparkSession) -> DataFrame:
@@ -149,7 +148,7 @@ def part_lexicon_raw(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stop_words(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(w,) for w in STOP_WORDS], "word string")
+    return literal_table(spark, [(w,) for w in STOP_WORDS], ["word"])
 
 
 def event_cache(spark: SparkSession, sf: str) -> DataFrame:

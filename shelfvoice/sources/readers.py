@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,19 +42,29 @@ def with_position(df: DataFrame, fmt: str) -> DataFrame:
     )
 
 
-SMALL_TABLE_ROWS = 1_000_000
+def literal_table(spark: SparkSession, rows: list[tuple], columns: list[str]) -> DataFrame:
+    """Hand-kept text rows (a word list, a lexicon) as a table.
+
+    Arrow input becomes a local relation: Catalyst knows its size and no Python
+    task reads it.
+    """
+    arrays = [pa.array([r[i] for r in rows], pa.string()) for i in range(len(columns))]
+    return spark.createDataFrame(pa.table(dict(zip(columns, arrays))))
+
+
+SMALL_TABLE_SPLITS = 64
 
 
 def spread_small(df: DataFrame) -> DataFrame:
     """Deal a small table out over the cores before work that is heavy per row.
 
-    A file with one row group is one task however many cores there are. Larger
-    tables have row groups enough and pass through without a shuffle. Parquet
-    counts rows from its footers.
+    A file with one row group is one task however many cores there are. A table
+    with more splits passes through without a shuffle.
     """
-    if df.count() > SMALL_TABLE_ROWS:
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= min(cores, SMALL_TABLE_SPLITS):
         return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(cores)
 
 
 def read_reviews(spark: SparkSession, path: str, fmt: str = "csv", position: bool = True) -> DataFrame:
