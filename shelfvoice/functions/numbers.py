@@ -69,8 +69,8 @@ def month_bucket(date: Column) -> Column:
 def half_even(c: Column, digits: int = 2) -> Column:
     """Round the scaled binary value half to even, the rule of numeric frames.
 
-    ``bround`` works on the decimal text of the number instead and gives 2.68
-    for 2.675, whose binary value lies below the tie.
+    ``bround`` works on the decimal text of the number instead and gives 1.02
+    for 1.015, which lies below the tie once scaled.
     """
     scale = F.lit(float(10**digits))
     return F.rint(c * scale) / scale
