@@ -6,31 +6,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from shelfvoice.sources.readers import FILE_COLUMN, ROW_COLUMN
+from shelfvoice.sources.readers import FILE_COLUMN, ROW_COLUMN, SPLIT_COLUMN
 from shelfvoice.sources.workspace import stage
 
 _SLOT_BITS = 33
-_MAX_FILES_BROADCAST = 500_000
+_MAX_SPLITS_BROADCAST = 500_000
 
 
-def _running_start(sizes: DataFrame, order: str) -> DataFrame:
-    """Rows before each part. ``sizes`` has one row per file or partition."""
-    before = W.orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+def _running_start(sizes: DataFrame, *order: str) -> DataFrame:
+    """Rows before each part. ``sizes`` has one row per split or partition."""
+    before = W.orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     return sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
 
 
 def ids_in_file_order(df: DataFrame, id_col: str = "ID") -> DataFrame:
-    """Ids in input order for an unfiltered Parquet scan with its position columns.
+    """Ids in input order for an unfiltered file scan with its position columns.
 
-    A row's id is its index in the file plus the rows of the files before it, so
-    the rows themselves are neither shuffled nor sorted.
+    A row's id is its place in its split plus the rows of the splits before it,
+    so the rows themselves are neither shuffled nor sorted. Splits are counted
+    in a scan of their own that reads no data columns.
     """
-    sizes = df.groupBy(FILE_COLUMN).agg(F.count(F.lit(1)).alias("_n"))
-    starts = _running_start(sizes, FILE_COLUMN).select(FILE_COLUMN, "_before")
-    # The driver has already listed the files, so their number is known.
-    if len(df.inputFiles()) <= _MAX_FILES_BROADCAST:
+    split = [FILE_COLUMN, SPLIT_COLUMN]
+    sizes = df.groupBy(*split).agg(F.count(F.lit(1)).alias("_n"), F.min(ROW_COLUMN).alias("_first"))
+    starts = _running_start(sizes, *split).drop("_n")
+    # The driver has planned the scan already: files plus tasks bound the splits.
+    if len(df.inputFiles()) + df.rdd.getNumPartitions() <= _MAX_SPLITS_BROADCAST:
         starts = F.broadcast(starts)
-    return df.join(starts, FILE_COLUMN).withColumn(id_col, F.col("_before") + F.col(ROW_COLUMN) + 1).drop("_before")
+    place = F.col("_before") + F.col(ROW_COLUMN) - F.col("_first") + 1
+    return df.join(starts, split).withColumn(id_col, place).drop("_before", "_first")
 
 
 def assign_row_ids(

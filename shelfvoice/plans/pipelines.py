@@ -35,8 +35,8 @@ def process_reviews(
 ) -> DataFrame:
     """Raw review table to processed table.
 
-    Without ``order_by`` ids follow the input order of a Parquet scan and the
-    whole job is one pass over the reviews without a shuffle.
+    Without ``order_by`` ids follow the input order of the scan and the whole job
+    is one pass over the reviews without a shuffle.
     """
     require_columns(raw, REQUIRED)
     numbered = number_rows(raw, order_by).select("ID", *REQUIRED)

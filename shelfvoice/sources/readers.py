@@ -10,8 +10,9 @@ from pyspark.sql import types as T
 from shelfvoice.schema import BRAND_REQUIRED, PARENT_ASIN, REQUIRED, require_columns
 
 FILE_COLUMN = "_file"
+SPLIT_COLUMN = "_split"
 ROW_COLUMN = "_row"
-POSITION_COLUMNS = [FILE_COLUMN, "_split", ROW_COLUMN]
+POSITION_COLUMNS = [FILE_COLUMN, SPLIT_COLUMN, ROW_COLUMN]
 
 
 def _scan(spark: SparkSession, path: str, fmt: str) -> DataFrame:
@@ -29,15 +30,16 @@ def _scan(spark: SparkSession, path: str, fmt: str) -> DataFrame:
 def with_position(df: DataFrame, fmt: str) -> DataFrame:
     """Add where each row of a file scan stands in the input.
 
-    Parquet knows a row's index in its file. For text formats the pair (split
-    offset, running id inside the task) has the same order.
+    Parquet knows a row's index in its file. In text formats a row's place is its
+    running id among the rows of its task, which reads its splits one by one;
+    the same files are always packed into the same tasks.
     """
     row = F.col("_metadata.row_index") if fmt == "parquet" else F.monotonically_increasing_id()
     split = F.lit(0).cast("long") if fmt == "parquet" else F.col("_metadata.file_block_start")
     return df.select(
         "*",
         F.col("_metadata.file_path").alias(FILE_COLUMN),
-        split.alias("_split"),
+        split.alias(SPLIT_COLUMN),
         row.alias(ROW_COLUMN),
     )
 

@@ -98,12 +98,30 @@ def test_csv_fields_and_order(spark, tmp_path):
     (folder / "a.csv").write_text(head + 'A1,"say ""hi""","two\nlines, here",m,5,2024-01-01,x\nA2,,,,,,\n')
     (folder / "b.csv").write_text(head + "A3,t,c,m,bad,bad,x\n")
     raw = readers.read_reviews(spark, str(folder), "csv")
-    out = process_reviews(raw, order_by=readers.POSITION_COLUMNS).orderBy("ID").collect()
+    out = process_reviews(raw).orderBy("ID").collect()
+    assert out == process_reviews(raw, order_by=readers.POSITION_COLUMNS).orderBy("ID").collect()
     assert [r.Asin for r in out] == ["A1", "A2", "A3"]
     assert out[0].Title == 'say "hi"' and out[0].Content == "two\nlines, here"
     assert out[1].Content is None and out[2].Rating is None
 
 
+@pytest.mark.parametrize("fmt", ["csv", "json"])
+def test_text_files_number_rows_in_input_order(spark, tmp_path, fmt):
+    path = str(tmp_path / fmt)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        frame = spark.range(3000).select(*[F.col("id").cast("string").alias(c) for c in REQUIRED])
+        writers.write_results(frame.repartition(4), path, fmt)
+        got = process_reviews(readers.read_reviews(spark, path, fmt)).select("ID", "Asin").collect()
+        want = []
+        for f in sorted((tmp_path / fmt).glob(f"*.{fmt}")):
+            lines = f.read_text().splitlines()[1 if fmt == "csv" else 0 :]
+            want += [line.split(",")[0].split(":")[-1].strip('"') for line in lines]
+        assert [r.Asin for r in sorted(got, key=lambda r: r.ID)] == want
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_tsv_is_tab_separated_with_header(spark, tmp_path):
     path = str(tmp_path / "tsv")
     writers.write_tsv(spark.createDataFrame([(1, None, "a\tb")], "ID int, x string, y string").coalesce(1), path)
