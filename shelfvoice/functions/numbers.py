@@ -76,6 +76,7 @@ def half_even(c: Column, digits: int = 2) -> Column:
     return F.rint(c * scale) / scale
 
 
-def percent(part: Column, whole: Column, digits: int = 2) -> Column:
-    """Share of ``whole`` in percent; NULL for an empty whole."""
-    return half_even(F.try_divide(part.cast("double"), whole.cast("double")) * 100, digits)
+def percent(part: Column, whole: Column, digits: int | None = 2) -> Column:
+    """Share of ``whole`` in percent, unrounded without ``digits``; NULL for an empty whole."""
+    share = F.try_divide(part.cast("double"), whole.cast("double")) * 100
+    return share if digits is None else half_even(share, digits)

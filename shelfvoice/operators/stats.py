@@ -109,7 +109,7 @@ def rating_crosstab(df: DataFrame, by: str | list[str]) -> DataFrame:
     counts = _rated(df, by).groupBy("grp", "Rating").agg(F.count(F.lit(1)).alias("n_reviews"))
     # Rows are counts by now: a group has one per rating value.
     in_group = F.sum("n_reviews").over(W.partitionBy("grp"))
-    return counts.withColumn("pct", percent(F.col("n_reviews"), in_group))
+    return counts.withColumn("pct", percent(F.col("n_reviews"), in_group, None))
 
 
 def rating_crosstab_wide(df: DataFrame, by: str | list[str]) -> DataFrame:
@@ -122,7 +122,7 @@ def rating_crosstab_wide(df: DataFrame, by: str | list[str]) -> DataFrame:
             *[F.count_if(F.col("Rating") == r).alias(f"_r{r}") for r in RATING_SCALE],
         )
     )
-    return counts.select("grp", *[percent(F.col(f"_r{r}"), F.col("_n")).alias(f"rating_{r}") for r in RATING_SCALE])
+    return counts.select("grp", *[percent(F.col(f"_r{r}"), F.col("_n"), None).alias(f"rating_{r}") for r in RATING_SCALE])
 
 
 def rating_shares(df: DataFrame, by: str | list[str], group: str | None = None) -> DataFrame:
@@ -141,6 +141,6 @@ def rating_trend(df: DataFrame, by: str | None = None) -> DataFrame:
     return (
         df.filter("Date IS NOT NULL")
         .groupBy(*keys)
-        .agg(half_even(F.avg("Rating"), 4).alias("avg_rating"))
+        .agg(F.avg("Rating").alias("avg_rating"))
         .filter(present)
     )

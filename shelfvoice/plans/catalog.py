@@ -503,6 +503,8 @@ def queries():
         "category_flags": _with_lexicon(L.category_flags),
         "category_stats": _with_lexicon(L.category_stats),
         "keyword_frequency": _with_lexicon(L.keyword_frequency),
+        "category_stats_many": _over(text, lambda d: L.category_stats(d, L.Lexicon(tuple(T.SYLLABLES)))),
+        "keyword_frequency_many": _over(text, lambda d: L.keyword_frequency(d, L.Lexicon(tuple(T.SYLLABLES)))),
         "match_summary": lambda spark, sf: L.match_summary(_matched(spark, sf)),
         "match_by_rating": lambda spark, sf: L.match_by_rating(_matched(spark, sf)),
         "match_keyword_counts": lambda spark, sf: L.match_keyword_counts(_matched(spark, sf)),

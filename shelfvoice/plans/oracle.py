@@ -18,8 +18,12 @@ def _half_even(x, digits=2):
     return f"(round_even(({x}) * {10.0**digits}, 0) / {10.0**digits})"
 
 
+def _share(a, b):
+    return f"(CAST({a} AS DOUBLE) / NULLIF(CAST({b} AS DOUBLE), 0) * 100)"
+
+
 def _pct(a, b, digits=2):
-    return _half_even(f"CAST({a} AS DOUBLE) / NULLIF(CAST({b} AS DOUBLE), 0) * 100", digits)
+    return _half_even(_share(a, b), digits)
 
 
 def _bucket(r):
@@ -98,6 +102,12 @@ CATEGORIES = f"""{HITS}, stats AS (
          (SELECT count(*) FROM text_reviews) - count(DISTINCT h."ID") AS unmatched
   FROM (SELECT DISTINCT main, sub FROM lex) c LEFT JOIN hits h ON c.main = h.main AND c.sub = h.sub GROUP BY c.main, c.sub)"""
 FREQUENCY = f"""{HITS}, freq AS (SELECT main, sub, keyword, count(*) AS n FROM hits GROUP BY ALL)"""
+# The syllables of views.SYLLABLES: consonant, vowel, consonant; main is the vowel, sub the first consonant.
+SYLLABLES = """syllables AS (
+  SELECT v AS main, c AS sub, c || v || d AS keyword
+  FROM (SELECT unnest(string_split('lmnrst', '')) AS c), (SELECT unnest(string_split('aeiou', '')) AS v),
+       (SELECT unnest(string_split('lmnrst', '')) AS d)),
+syllable_hits AS (SELECT "ID", main, sub, keyword FROM text_reviews JOIN syllables ON contains(lower("Content"), keyword))"""
 STOP = "stop AS (SELECT unnest(['the', 'and', 'der', 'that', 'don', 't']) AS word)"
 TOKENS = """tokens AS (
   SELECT "ID", "Review Type", list_filter(regexp_split_to_array(lower("Content"), '[^\\p{L}\\p{N}_]+'),
@@ -134,7 +144,7 @@ def _group_stats(cte, view, key):
 def _crosstab(key, extra=""):
     return f"""WITH {LINE}, c AS (SELECT {key} AS grp, "Rating", count(*) AS n_reviews FROM line
       WHERE {key} IS NOT NULL AND "Rating" IS NOT NULL {extra} GROUP BY ALL)
-      SELECT grp, "Rating", n_reviews, {_pct('n_reviews', 'sum(n_reviews) OVER (PARTITION BY grp)')} AS pct FROM c"""
+      SELECT grp, "Rating", n_reviews, {_share('n_reviews', 'sum(n_reviews) OVER (PARTITION BY grp)')} AS pct FROM c"""
 
 
 def _processed(numbered, asin="trim(num.\"Asin\")"):
@@ -264,19 +274,19 @@ def oracle_sql() -> dict[str, str]:
         "rating_crosstab": _crosstab('"Asin"'),
         "rating_crosstab_wide": branded
         + 'SELECT "Brand" AS grp, '
-        + ", ".join(f"""{_pct(f'count(*) FILTER ("Rating" = {r})', 'count("Rating")')} AS rating_{r}""" for r in range(1, 6))
+        + ", ".join(f"""{_share(f'count(*) FILTER ("Rating" = {r})', 'count("Rating")')} AS rating_{r}""" for r in range(1, 6))
         + """ FROM branded WHERE "Brand" IS NOT NULL GROUP BY "Brand" """,
         "group_stats_multikey": branded
         + f"""SELECT "Brand", "Model", count("Rating") AS n_reviews, {_half_even('avg("Rating")')} AS avg_rating,
              {_half_even('stddev_samp("Rating")')} AS std_rating FROM branded WHERE "Brand" IS NOT NULL AND "Model" IS NOT NULL GROUP BY ALL""",
         "trend_overall": text
-        + f"""SELECT strftime("Date", '%Y-%m') AS month, {_half_even('avg("Rating")', 4)} AS avg_rating FROM text_reviews
+        + f"""SELECT strftime("Date", '%Y-%m') AS month, avg("Rating") AS avg_rating FROM text_reviews
              WHERE "Date" IS NOT NULL GROUP BY month""",
         "trend_asin": line
-        + f"""SELECT strftime("Date", '%Y-%m') AS month, "Asin" AS grp, {_half_even('avg("Rating")', 4)} AS avg_rating FROM line
+        + f"""SELECT strftime("Date", '%Y-%m') AS month, "Asin" AS grp, avg("Rating") AS avg_rating FROM line
              WHERE "Date" IS NOT NULL GROUP BY month, grp""",
         "trend_brand": branded
-        + f"""SELECT strftime("Date", '%Y-%m') AS month, "Brand" AS grp, {_half_even('avg("Rating")', 4)} AS avg_rating FROM branded
+        + f"""SELECT strftime("Date", '%Y-%m') AS month, "Brand" AS grp, avg("Rating") AS avg_rating FROM branded
              WHERE "Date" IS NOT NULL AND "Brand" IS NOT NULL GROUP BY month, grp""",
         "rating_shares": _crosstab(am, f"AND {am} = 'A17 - AF'"),
         "completeness": text
@@ -324,8 +334,13 @@ def oracle_sql() -> dict[str, str]:
         "category_flags": text + f"""SELECT "ID", "Content", "Review Type" AS "Original Review Type", {FLAGS} FROM text_reviews""",
         "category_stats": f"WITH {CATEGORIES} SELECT * FROM stats",
         "keyword_frequency": f"WITH {FREQUENCY} SELECT * FROM freq",
+        "category_stats_many": f"""WITH {TEXT}, {SYLLABLES}
+             SELECT c.main, c.sub, count(DISTINCT h."ID") AS matched, {_pct('count(DISTINCT h."ID")', '(SELECT count(*) FROM text_reviews)')} AS pct,
+               (SELECT count(*) FROM text_reviews) - count(DISTINCT h."ID") AS unmatched
+             FROM (SELECT DISTINCT main, sub FROM syllables) c LEFT JOIN syllable_hits h ON c.main = h.main AND c.sub = h.sub GROUP BY c.main, c.sub""",
+        "keyword_frequency_many": f"WITH {TEXT}, {SYLLABLES} SELECT main, sub, keyword, count(*) AS n FROM syllable_hits GROUP BY ALL",
         "match_summary": f"""WITH {MATCHED} SELECT count(*) AS total_reviews, count(*) FILTER ("Match_Count" > 0) AS matched_reviews,
-             {_pct('count(*) FILTER ("Match_Count" > 0)', 'count(*)')} AS match_rate FROM matched""",
+             {_share('count(*) FILTER ("Match_Count" > 0)', 'count(*)')} AS match_rate FROM matched""",
         "match_by_rating": f"""WITH {MATCHED} SELECT "Rating", count(*) AS n_reviews, {_half_even('avg("Match_Count")')} AS avg_matches
              FROM matched WHERE "Match_Count" > 0 AND "Rating" IS NOT NULL GROUP BY "Rating" """,
         "match_keyword_counts": f"WITH {HITS} SELECT keyword, count(*) AS n FROM hits GROUP BY keyword",

@@ -32,6 +32,7 @@ LEXICON_ROWS = [
     ("lang", "french", "que la"),
     ("lang", "none", "zzqx"),
 ]
+SYLLABLES = [(v, c, c + v + d) for c in "lmnrst" for v in "aeiou" for d in "lmnrst"]
 MATCH_KEYWORDS = ["thing", "heed", "license", "@", "und", "que la", "zzqx"]
 
 
