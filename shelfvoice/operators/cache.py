@@ -18,7 +18,8 @@ _TOP_ROWS = 10_000
 def as_now(now: datetime | Column | None) -> Column:
     if now is None:
         return F.current_timestamp().cast("timestamp_ntz")
-    return now if isinstance(now, Column) else F.lit(now).cast("timestamp_ntz")
+    # As text: a datetime literal would pass through the session's time zone.
+    return now if isinstance(now, Column) else F.lit(now.isoformat(sep=" ")).cast("timestamp_ntz")
 
 
 def _fresh(now: datetime | Column | None, ttl_days: float) -> Column:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfvoice.sources.workspace import stage
+
 BROADCAST_MAX_ROWS = 2_000_000
 BROADCAST_MAX_BYTES = 64 * 1024 * 1024
 
@@ -43,7 +45,8 @@ def salted_left(left: DataFrame, right: DataFrame, key: str, spread_by: Column)
     that runs again sends every row to the same place.
     """
     pieces = _pieces(left)
-    hot = F.broadcast(hot_keys(left, key, pieces))
+    # Staged, so that both sides read the short list and count nothing again.
+    hot = F.broadcast(stage(hot_keys(left, key, pieces), "hot-keys"))
     spread = F.xxhash64(spread_by)
     salted = left.join(hot, key, "left").withColumn(
         "_salt",

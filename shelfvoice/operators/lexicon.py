@@ -75,8 +75,8 @@ class Lexicon:
     @staticmethod
     def of(table: DataFrame) -> Lexicon:
         """Read a normalised lexicon table; it is kept by hand and never grows with the reviews."""
-        rows = table.select("main", "sub", "keyword").distinct().orderBy("main", "sub", "keyword").collect()
-        return Lexicon(tuple((r.main, r.sub, r.keyword) for r in rows))
+        rows = table.select("main", "sub", "keyword").collect()
+        return Lexicon(tuple(sorted({(r.main, r.sub, r.keyword) for r in rows})))
 
     @property
     def keywords(self) -> list[str]:
@@ -141,6 +141,8 @@ def add_matches(df: DataFrame, keywords: list[str], column: str = "Content", out
     names = [f"_pass{i}" for i in range(len(passes))]
     for name, part in zip(names, passes):
         df = _with_automaton(df, column, part, name)
+    if len(names) == 1:
+        return df.withColumnRenamed(names[0], out)
     return df.withColumn(out, F.array_sort(F.concat(*names))).drop(*names)
 
 

@@ -47,6 +47,8 @@ def assign_row_ids(
     Range partitions are sorted and written once; the id is the place inside the
     partition plus the rows of the partitions before it. Rows that tie are
     ordered by a hash of the whole row, which also splits large groups of ties.
+    Only rows equal in every column stay together; a scan that keeps its input
+    position has none.
     """
     kept = [F.col(f"`{c}`") for c in keep or df.columns]
     keys = [*order_by, F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])]

@@ -377,7 +377,7 @@ def _part_cached(spark, sf):
         reviews.filter("Model = 'de'")
         .select(key.alias("cache_key"), F.lit("kept").alias("value"))
         .distinct()
-        .withColumns({"written_at": F.lit(datetime(2024, 1, 30)).cast("timestamp_ntz"), "status": F.lit("done")})
+        .withColumns({"written_at": F.lit("2024-01-30").cast("timestamp_ntz"), "status": F.lit("done")})
     )
     reviews = reviews.withColumn("Content", F.when(F.col("ID") % 10 != 3, F.col("Content")))
     return E.enrich_columns(

@@ -24,20 +24,6 @@ def evaluate(spark, values, expression, kind="string"):
     return [r.o for r in rows.select("i", expression(F.col("v")).alias("o")).orderBy("i").collect()]
 
 
-def py_chunks(text, limit):
-    if len(text) <= limit:
-        return [text]
-    pieces, held = [], ""
-    for sentence in text.split(". "):
-        if len(held) + len(sentence) < limit:
-            held = held + sentence + ". "
-            continue
-        if held:
-            pieces.append(held.strip())
-        held = sentence + ". "
-    return pieces + [held.strip()]
-
-
 def py_normalise(text):
     text = " ".join(text.split())
     for phrase, short in X.STAR_TERMS:
@@ -78,8 +64,18 @@ def test_clean_output_generated(spark, values):
 @GENERATED
 @given(values=st.lists(st.text(alphabet="ab. ", max_size=80), min_size=1, max_size=40))
 def test_chunks_generated(spark, values):
+    """Nothing is lost, pieces are short or one sentence, and neighbours would not fit together."""
+    limit = 15
     values = [" ".join(v.split()) for v in values]
-    assert evaluate(spark, values, lambda c: X.chunk_text(c, 15)) == [py_chunks(v, 15) for v in values]
+    for text, pieces in zip(values, evaluate(spark, values, lambda c: X.chunk_text(c, limit))):
+        if len(text) <= limit:
+            assert pieces == [text]
+            continue
+        assert "".join(pieces).replace(" ", "") == text.replace(" ", "") + "."
+        for piece in pieces:
+            assert len(piece) <= limit or piece.rstrip(".").count(". ") == 0
+        for first, second in zip(pieces, pieces[1:]):
+            assert len(first) + 1 + len(second.split(". ")[0].removesuffix(".")) >= limit
 
 
 @GENERATED
