@@ -28,7 +28,7 @@ from shelfvoice.functions.text import (
     trim_text,
 )
 from shelfvoice.operators.cache import append_results, valid_entries
-from shelfvoice.operators.joins import lookup_left
+from shelfvoice.operators.joins import fits_broadcast, lookup_left
 from shelfvoice.schema import CACHE_TTL_DAYS, ERROR_PREVIEW_CHARS, MAX_RETRIES, RETRY_PAUSE_SECONDS, require_columns
 from shelfvoice.sources.workspace import stage
 
@@ -114,8 +114,22 @@ def call_function(work: DataFrame, fn: BatchFunction, options: CallOptions) -> D
     return work.mapInPandas(run, _CALL_SCHEMA)
 
 
+def _known(asked: DataFrame, cache: DataFrame, now, ttl_days: float) -> DataFrame:
+    """Distinct requested keys with their cached value; NULL where none is valid."""
+    valid = valid_entries(cache, now, ttl_days).select("cache_key", "value")
+    return stage(asked.select("cache_key").distinct().join(valid, "cache_key", "left"), "known")
+
+
+def _texts_of(asked: DataFrame, keys: DataFrame) -> DataFrame:
+    """Distinct texts of some keys. Few keys are sought by broadcast, before any text is shuffled."""
+    if fits_broadcast(keys):
+        return asked.join(F.broadcast(keys), "cache_key", "left_semi").distinct()
+    return asked.distinct().join(keys, "cache_key", "left_semi")
+
+
 def _resolve(
-    work: DataFrame,
+    asked: DataFrame,
+    pieces: Column,
     fn: BatchFunction,
     finish: Callable[[Column], Column],
     options: CallOptions,
@@ -124,25 +138,26 @@ def _resolve(
     now,
     ttl_days: float,
 ) -> DataFrame:
-    """Outcome of each distinct ``(cache_key, text, pieces)``, staged so that no call runs twice."""
-    misses, hits = work, None
-    if cache is not None:
-        valid = valid_entries(cache, now, ttl_days).select("cache_key", "value")
-        misses = work.join(valid, "cache_key", "left_anti")
-        hits = work.select("cache_key").join(valid, "cache_key").select(
+    """Outcome of each distinct requested ``(cache_key, text)``, staged so that no call runs twice."""
+    if cache is None:
+        work, hits = asked.distinct(), None
+    else:
+        known = _known(asked, cache, now, ttl_days)
+        work = _texts_of(asked, known.filter("value IS NULL").select("cache_key"))
+        hits = known.filter("value IS NOT NULL").select(
             "cache_key", "value", F.lit("cached").alias("status"), F.lit(None).cast("string").alias("error_class")
         )
-    called = call_function(misses.select("cache_key", "pieces"), fn, options)
-    new = called.select(
+    called = call_function(work.select("cache_key", pieces.alias("pieces")), fn, options)
+    answered = called.select(
         "cache_key",
         F.when(F.col("message").isNull(), finish(F.array_join("outputs", " "))).alias("value"),
         F.when(F.col("message").isNull(), "done").otherwise("failed").alias("status"),
         error_class(F.col("message")).alias("error_class"),
     )
-    outcome = stage(new if hits is None else hits.unionByName(new), "enriched")
+    new = stage(answered, "enriched")
     if cache_path is not None:
-        append_results(outcome, cache_path, now)
-    return outcome
+        append_results(new, cache_path, now)
+    return new if hits is None else hits.unionByName(new)
 
 
 def _value(status: Column, value: Column, head: Column) -> Column:
@@ -156,20 +171,22 @@ class _Request:
     """Names of the new column and of the helper columns that ask for it."""
 
     target: str
+    source: str
     key: str  # NULL where the source is blank
     text: str  # what is sent
     shown: str  # what a failure shows
 
 
-def _distinct_work(keyed: DataFrame, requests: list[_Request]) -> DataFrame:
-    """Distinct ``(cache_key, text)`` of all requests; copies meet before the shuffle."""
+def _asked(keyed: DataFrame, requests: list[_Request]) -> DataFrame:
+    """``(cache_key, text)`` of all requests that are not blank, copies included."""
     if len(requests) == 1:
         [r] = requests
-        asked = keyed.select(F.col(r.key).alias("cache_key"), F.col(r.text).alias("text"))
-    else:
-        pairs = F.array(*[F.struct(F.col(r.key).alias("cache_key"), F.col(r.text).alias("text")) for r in requests])
-        asked = keyed.select(F.explode(pairs).alias("p")).select("p.*")
-    return asked.distinct().filter("cache_key IS NOT NULL")
+        # Tested on the source: a test of the key would be pushed below the
+        # normalisation and repeat it.
+        spoken = keyed.filter(nonblank(F.col(f"`{r.source}`").cast("string")))
+        return spoken.select(F.col(r.key).alias("cache_key"), F.col(r.text).alias("text"))
+    pairs = F.array(*[F.struct(F.col(r.key).alias("cache_key"), F.col(r.text).alias("text")) for r in requests])
+    return keyed.select(F.explode(pairs).alias("p")).select("p.*").filter("cache_key IS NOT NULL")
 
 
 def _attach(keyed: DataFrame, columns: list[str], requests: list[_Request], outcome: DataFrame, id_col: str) -> Enriched:
@@ -235,13 +252,13 @@ def enrich_columns(
     """
     columns = list(columns)
     require_columns(df, [id_col, *columns])
-    requests = [_Request(f"{c}{suffix}", f"_key{i}", f"_text{i}", f"_text{i}") for i, c in enumerate(columns)]
+    requests = [_Request(f"{c}{suffix}", c, f"_key{i}", f"_text{i}", f"_text{i}") for i, c in enumerate(columns)]
     # Two steps, so that the text is normalised once and not inside each use.
     keyed = df.withColumns({r.text: normalise_text(F.col(f"`{c}`")) for r, c in zip(requests, columns)})
     parts = [F.lit(engine), F.lit(source), F.lit(target)]
     keyed = keyed.withColumns({r.key: F.when(F.col(r.text) != "", cache_key(F.col(r.text), *parts)) for r in requests})
-    work = _distinct_work(keyed, requests).withColumn("pieces", chunk_text(F.col("text")))
-    outcome = _resolve(work, fn, clean_output, options, cache, cache_path, now, ttl_days)
+    asked, pieces = _asked(keyed, requests), chunk_text(F.col("text"))
+    outcome = _resolve(asked, pieces, fn, clean_output, options, cache, cache_path, now, ttl_days)
     return _attach(keyed, df.columns, requests, outcome, id_col)
 
 
@@ -266,7 +283,7 @@ def label_columns(
     require_columns(df, [id_col, *[t.source_col for t in tasks]])
     requests, prompts, keys = [], {}, {}
     for i, task in enumerate(tasks):
-        request = _Request(task.col_name, f"_key{i}", f"_prompt{i}", f"_source{i}")
+        request = _Request(task.col_name, task.source_col, f"_key{i}", f"_prompt{i}", f"_source{i}")
         text = F.col(f"`{task.source_col}`").cast("string")
         prompts[request.shown] = text
         prompts[request.text] = render_prompt(F.lit(task.prompt), text)
@@ -274,8 +291,8 @@ def label_columns(
         keys[request.key] = F.when(nonblank(F.col(request.shown)), key)
         requests.append(request)
     keyed = df.withColumns(prompts).withColumns(keys)
-    work = _distinct_work(keyed, requests).withColumn("pieces", F.array("text"))
-    outcome = _resolve(work, fn, trim_text, options, cache, cache_path, now, ttl_days)
+    asked, pieces = _asked(keyed, requests), F.array("text")
+    outcome = _resolve(asked, pieces, fn, trim_text, options, cache, cache_path, now, ttl_days)
     return _attach(keyed, df.columns, requests, outcome, id_col)
 
 
@@ -290,8 +307,8 @@ def read_through(
     options: CallOptions = CallOptions(),
 ) -> DataFrame:
     """Value of each distinct ``(cache_key, text)``: cached while valid, else computed and stored."""
-    work = requests.select("cache_key", "text").distinct().withColumn("pieces", F.array("text"))
-    return _resolve(work, fn, lambda c: c, options, cache, cache_path, now, ttl_days)
+    asked = requests.select("cache_key", "text")
+    return _resolve(asked, F.array("text"), fn, lambda c: c, options, cache, cache_path, now, ttl_days)
 
 
 def job_counters(log: DataFrame) -> DataFrame:

@@ -17,10 +17,14 @@ BROADCAST_MAX_BYTES = 64 * 1024 * 1024
 
 
 def fits_broadcast(df: DataFrame) -> bool:
-    """Measure rows and bytes of the small side in one aggregation."""
+    """Measure the small side: rows first, bytes only if the rows fit.
+
+    Rows of a table come from its footers, so a large table is not read.
+    """
+    if df.count() > BROADCAST_MAX_ROWS:
+        return False
     width = sum((F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) + 16 for c in df.columns), F.lit(0))
-    size = df.agg(F.count(F.lit(1)).alias("n"), F.sum(width).alias("b")).first()
-    return size.n <= BROADCAST_MAX_ROWS and (size.b or 0) <= BROADCAST_MAX_BYTES
+    return (df.agg(F.sum(width)).first()[0] or 0) <= BROADCAST_MAX_BYTES
 
 
 def _pieces(df: DataFrame) -> int:
