@@ -1,6 +1 @@
-"""No streaming operators: every operator of this engine is a batch one.
-
-The row-local functions (``shelfvoice.functions``, ``operators.clean``,
-``operators.lexicon.category_flags``) contain no batch-only step, so they can
-also be applied to a frame from ``spark.readStream``.
-"""
+"""No streaming operators: every operator of this engine is a batch one."""
