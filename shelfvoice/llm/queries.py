@@ -6,8 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfvoice.llm import simhash_trie
-from shelfvoice.llm.common import table
+from shelfvoice.llm import best_fit, packing, simhash_trie, token_counts
+from shelfvoice.llm.common import table, tokenizer_path
+
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def op3_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_matrices(table(spark, sf_dir, "documents"), tokenizer_path(TOKENIZER))
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit.pack(table(spark, sf_dir, "documents"), tokenizer_path(TOKENIZER))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path(TOKENIZER))
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
