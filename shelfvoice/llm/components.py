@@ -6,20 +6,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfvoice.llm.common import stage
+from shelfvoice.operators.joins import BROADCAST_MAX_ROWS, salted_left
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _least_of(edges: DataFrame, least: DataFrame, rows: int) -> DataFrame:
+    """Join each edge with the row of its end ``u``, which a hub has many edges of.
+
+    ``least`` has at most two rows an edge, so the edges' number bounds it.
+    """
+    if 2 * rows <= BROADCAST_MAX_ROWS:
+        return edges.join(F.broadcast(least), "u")
+    return salted_left(edges, least, "u", F.col("v"))
+
+
+def _large_star(edges: DataFrame, rows: int) -> DataFrame:
     """Link every larger neighbour of a vertex to the least vertex near it."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return _least_of(both.filter("v > u"), least, rows).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, rows: int) -> DataFrame:
     """Link a vertex and its smaller neighbours to the least of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v")
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = _least_of(down, least, rows).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v")))
 
 
@@ -44,4 +55,5 @@ def components(edges: DataFrame) -> DataFrame:
                 now.select(F.col("v").alias("vertex"), F.col("v").alias("root"))
             ).distinct()
         mark = tuple(found)
-        now = stage(_small_star(_large_star(now)).distinct(), "edges")
+        # A large star makes no edges of its own: at most one for each it got.
+        now = stage(_small_star(_large_star(now, found[0]), found[0]).distinct(), "edges")
