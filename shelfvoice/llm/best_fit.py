@@ -22,7 +22,7 @@ from shelfvoice.llm.token_ids import cut, encode
 
 CAPACITY = 2048
 #: Blocks of ranks of one length in the join with the plan.
-BLOCKS = 256
+BLOCKS = 16
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[int, int, int, int, int]], int]:
