@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfvoice.llm import best_fit, packing, simhash_trie, token_counts
+from shelfvoice.llm import best_fit, packing, simhash_trie, token_counts, toxicity
 from shelfvoice.llm.common import table, tokenizer_path
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -24,6 +24,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path(TOKENIZER))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_trie.near_groups(table(spark, sf_dir, "documents"))
 
