@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfvoice.llm import best_fit, decontaminate, packing, simhash_trie, token_counts, toxicity
+from shelfvoice.llm import best_fit, decontaminate, packing, secrets, simhash_trie, token_counts, toxicity
 from shelfvoice.llm.common import table, tokenizer_path
 
 TOKENIZER = "byte_bpe_50k.json"
 
 
+def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"), secrets.train(secrets.labelled_findings(spark)))
+
+
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
