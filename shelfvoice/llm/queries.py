@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfvoice.llm import best_fit, decontaminate, packing, secrets, simhash_trie, token_counts, toxicity
+from shelfvoice.llm import best_fit, decontaminate, fingerprints, packing, secrets, simhash_trie, token_counts, toxicity
 from shelfvoice.llm.common import table, tokenizer_path
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -32,6 +32,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path(TOKENIZER))
 
 
+def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_edited(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
