@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfvoice.llm import best_fit, chat, decontaminate, fingerprints, packing, secrets, simhash_trie, token_counts, toxicity
+from shelfvoice.llm import best_fit, chat, decontaminate, fingerprints, packing, pii, secrets, simhash_trie, token_counts, toxicity
 from shelfvoice.llm.common import stage, table, tokenizer_path
 
 TOKENIZER = "byte_bpe_50k.json"
+#: For the registered query only; real data take a key that is kept apart from them.
+PSEUDONYM_KEY = "not a secret: key of the registered query"
 
 
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,6 +53,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_trie.near_groups(table(spark, sf_dir, "documents"))
 

@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfvoice.llm.common import col
+from shelfvoice.llm.common import col, located
 
 _NAME = r"(?:password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key|client[_-]?secret|credentials?)"
 #: Head of an assignment; the value follows it.
@@ -38,7 +38,6 @@ DICTIONARY = (
     "private access login account service insert replace todo foo bar demo mock fixture build version release"
 ).split()
 _NEAR = 48
-_BLOCK = 256
 THRESHOLD = 0.5
 #: Bound of the labelled findings that the default training table holds.
 FINDINGS = 4800
@@ -96,48 +95,18 @@ def _rule(text: Column) -> Column:
 
 
 def candidates(text: Column, path: Column) -> Column:
-    """Array of candidates: gap before, head, value, rule, start of the value, features.
-
-    Starts are sums of lengths, taken in blocks so that a text with very many
-    candidates costs no square of their number.
-    """
-    whole = F.coalesce(text, F.lit(""))
-    hits = F.regexp_extract_all(whole, F.lit(CANDIDATE), F.lit(0))
-    gaps = F.split(whole, CANDIDATE, -1)
-    return F.transform(F.array(F.struct(hits.alias("h"), gaps.alias("g"))), lambda s: _described(s, path))[0]
-
-
-def _described(s: Column, path: Column) -> Column:
-    """All candidates of a struct of hits and gaps, which is evaluated once."""
-    hits, gaps = s["h"], s["g"]
-    total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
-    n = F.size(hits)
-    lengths = F.zip_with(hits, F.slice(gaps, 1, n), lambda h, g: F.length(h) + F.length(g))
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / _BLOCK).cast("int")), lambda k: total(F.slice(lengths, k * _BLOCK + 1, F.lit(_BLOCK))))
-
-    def one(t: Column) -> Column:
-        ls, tops, i = t["l"], t["t"], t["i"]
-        hit, gap = F.get(hits, i), F.get(gaps, i)
-        head = F.regexp_extract(hit, HEAD, 0)
-        block = F.floor(i / _BLOCK).cast("int")
-        at = F.get(tops, block) + total(F.slice(ls, block * _BLOCK + 1, i % _BLOCK)) + F.length(gap) + F.length(head)
-        return F.struct(gap.alias("gap"), head.alias("head"), F.substring(hit, F.length(head) + 1, F.length(hit)).alias("value"), at.cast("long").alias("start"), F.get(gaps, i + 1).alias("next"), hit.alias("hit"))
-
-    def listed(w: Column) -> Column:
-        tops = F.transform(F.sequence(F.lit(0), F.size(w["b"]) - 1), lambda k: total(F.slice(w["b"], 1, k)))
-        return F.transform(
-            F.array(F.struct(w["l"].alias("l"), tops.alias("t"))),
-            lambda v: F.transform(F.sequence(F.lit(0), F.size(v["l"]) - 1), lambda i: one(F.struct(v["l"].alias("l"), v["t"].alias("t"), i.alias("i")))),
-        )[0]
-
-    rows = F.transform(F.array(F.struct(lengths.alias("l"), blocks.alias("b"))), listed)[0]
-    made = F.transform(rows, lambda r: _with_features(r, path))
-    return F.when(n > 0, made).otherwise(F.slice(F.transform(F.array(F.struct(F.lit("").alias("gap"), F.lit("").alias("head"), F.lit("").alias("value"), F.lit(0).cast("long").alias("start"), F.lit("").alias("next"), F.lit("").alias("hit"))), lambda r: _with_features(r, path)), 1, 0))
+    """Array of candidates: gap before, head, value, rule, start of the value, features."""
+    return F.transform(located(text, CANDIDATE), lambda r: _with_features(r, path))
 
 
 def _with_features(r: Column, path: Column) -> Column:
-    before, after, rule = F.right(r["gap"], F.lit(_NEAR)), F.left(r["next"], F.lit(_NEAR)), _rule(r["hit"])
-    return F.struct(r["gap"].alias("gap"), r["head"].alias("head"), r["value"].alias("value"), r["start"].alias("start"), rule.alias("rule"), features(r["value"], r["head"], rule, before, after, path).alias("f"))
+    head, rule = F.regexp_extract(r["hit"], HEAD, 0), _rule(r["hit"])
+    value = F.substring(r["hit"], F.length(head) + 1, F.length(r["hit"]))
+    before, after = F.right(r["gap"], F.lit(_NEAR)), F.left(r["next"], F.lit(_NEAR))
+    return F.struct(
+        r["gap"].alias("gap"), head.alias("head"), value.alias("value"), (r["start"] + F.length(head)).alias("start"), rule.alias("rule"),
+        features(value, head, rule, before, after, path).alias("f"),
+    )
 
 
 def labelled_findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
