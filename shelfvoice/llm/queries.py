@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfvoice.llm import best_fit, chat, decontaminate, fingerprints, packing, pii, secrets, simhash_trie, token_counts, toxicity
+from shelfvoice.llm import best_fit, chat, decontaminate, fingerprints, packing, pii, secret_scan, simhash_trie, token_counts, toxicity
 from shelfvoice.llm.common import stage, table, tokenizer_path
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -15,7 +15,7 @@ PSEUDONYM_KEY = "not a secret: key of the registered query"
 
 
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(table(spark, sf_dir, "documents"), secrets.train(secrets.labelled_findings(spark)))
+    return secret_scan.scan(table(spark, sf_dir, "documents"), secret_scan.train(secret_scan.labelled_findings(spark)))
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -253,3 +253,20 @@ def near_groups(
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of_print = stage(named.join(least, "root").select("fp", "component_id"), "groups")
     return prints.join(of_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 6, exact: int = 3) -> DataFrame:
+    """The rows of ``docs``, one of each near-duplicate group, with all their columns: that of the least id, null ids last.
+
+    Rows are numbered and staged first, so that repeated and null ids are rows
+    of their own.
+    """
+    number = "_row"
+    while number in docs.columns:
+        number += "_"
+    rows = stage(docs.withColumn(number, F.monotonically_increasing_id()), "rows")
+    groups = near_groups(rows, number, text_col, shingle, radius, exact).select(F.col("doc_id").alias(number), "component_id")
+    named = rows.select(number, col(id_col).alias("id")).join(groups, number)
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("missing"), "id", number)).alias("first"))
+    kept = stage(first.select(F.col(f"first.{number}").alias(number)), "kept")
+    return rows.join(kept, number, "left_semi").drop(number)

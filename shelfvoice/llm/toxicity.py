@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -376,3 +377,13 @@ def score(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col:
     source = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text"))
     scored = source.mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(remainder("doc_id") == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, model: dict | None, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text scores below the threshold, with all their columns; without a model all of them."""
+    @F.pandas_udf("double")
+    def toxic(texts: pd.Series) -> pd.Series:
+        return pd.Series(score_texts(model, [t or "" for t in texts]))
+
+    ship(docs.sparkSession)
+    return docs if model is None else docs.filter(toxic(col(text_col).cast("string")) < THRESHOLD)
