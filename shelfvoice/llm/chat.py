@@ -127,9 +127,11 @@ def format_trees(conversations: DataFrame, path: str) -> tuple[DataFrame, DataFr
     # Copies of a conversation go together here, before anything is encoded.
     paths = turns.groupBy("leaf", "depth").agg(F.first("node").alias("node"), F.first("role").alias("role"), F.first("text").alias("text"))
     rows = stage(_segments(paths, path), "segments")
-    order = rows.filter(F.col("depth") <= PATH_TURNS).groupBy("leaf").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("depth", "node"))), lambda x: x["node"]), "/").alias("path"))
+    # Places are found on narrow rows; token ids are joined in at the end, moving once.
+    steps = rows.select("leaf", "depth", "node", "n_tokens")
+    order = steps.filter(F.col("depth") <= PATH_TURNS).groupBy("leaf").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("depth", "node"))), lambda x: x["node"]), "/").alias("path"))
     ranks = _in_order(order, "path", "leaf").select("leaf", F.col("place").alias("rank"))
-    ranked = rows.join(ranks, "leaf")
+    ranked = steps.join(ranks, "leaf")
     owners = ranked.groupBy("node", "depth").agg(F.min("rank").alias("owner"), F.max("n_tokens").alias("n_tokens"))
     placed = _in_order(owners, "owner", "depth").withColumn("part", F.shiftright("place", 33))
     sizes = placed.groupBy("part").agg(F.sum("n_tokens").alias("size"))
@@ -138,7 +140,9 @@ def format_trees(conversations: DataFrame, path: str) -> tuple[DataFrame, DataFr
     before = Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     starts = placed.join(bases, "part").select("node", "owner", (F.col("base") + F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).alias("start"))
     known = lookup_left(ranked, stage(starts, "starts"), "node", F.xxhash64("leaf", "depth"))
-    return _with_intervals(known), ends
+    content = rows.select("leaf", "depth", "role", "ids", "loss_from", "loss_to")
+    nodes = _with_intervals(known).join(content, ["leaf", "depth"])
+    return nodes.select("node", "parent", "depth", "role", "ids", "n_tokens", "loss_from", "loss_to", "start", "position", "intervals"), ends
 
 
 def _with_intervals(rows: DataFrame) -> DataFrame:
@@ -153,7 +157,7 @@ def _with_intervals(rows: DataFrame) -> DataFrame:
     out = out.withColumn("closed", F.when(F.col("opens") & F.col("last_end").isNotNull(), F.struct(F.lag("since").over(walk).alias("from"), F.col("last_end").alias("to"))))
     mine = F.array(F.struct(F.col("since").alias("from"), end.alias("to")))
     out = out.withColumn("intervals", F.concat(F.collect_list("closed").over(so_far), mine)).filter(F.col("rank") == F.col("owner"))
-    return out.select("node", "parent", "depth", "role", "ids", "n_tokens", "loss_from", "loss_to", "start", "position", "intervals")
+    return out.select("leaf", "node", "parent", "depth", "n_tokens", "start", "position", "intervals")
 
 
 def read_back(nodes: DataFrame, ends: DataFrame, path: str) -> DataFrame:
