@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfvoice.operators.rowids import assign_row_ids
-from shelfvoice.schema import CACHE_MAX_ITEMS, CACHE_TTL_DAYS
+from shelfvoice.schema import CACHE_TTL_DAYS
 from shelfvoice.sources.readers import scan_files
+from shelfvoice.sources.workspace import stage
 
 CACHE_SCHEMA = "cache_key string, value string, written_at timestamp_ntz, status string, written_on date"
-_TOP_ROWS = 10_000
 
 
 def as_now(now: datetime | Column | None) -> Column:
@@ -51,16 +52,34 @@ def cache_report(cache: DataFrame, now=None, ttl_days: float = CACHE_TTL_DAYS) -
     )
 
 
-def retain(
-    cache: DataFrame, now=None, ttl_days: float = CACHE_TTL_DAYS, max_items: int = CACHE_MAX_ITEMS
-) -> DataFrame:
-    """Entries that stay: newest of each key, unexpired, the ``max_items`` latest."""
+def retain(cache: DataFrame, now=None, ttl_days: float = CACHE_TTL_DAYS, max_items: int | None = None) -> DataFrame:
+    """Entries that stay: newest of each key, unexpired and, if a bound is named, the ``max_items`` latest."""
     entries = valid_entries(cache, now, ttl_days)
-    order = [F.desc("written_at"), F.asc("cache_key")]
-    if max_items <= _TOP_ROWS:
-        return entries.orderBy(*order).limit(max_items)
-    # A large limit would gather all kept rows in one task; numbering does not.
-    return assign_row_ids(entries, order, "_place").filter(F.col("_place") <= max_items).drop("_place")
+    if max_items is None:
+        return entries
+    # Numbering gathers no range of rows in one task, however large the bound.
+    placed = assign_row_ids(entries, [F.desc("written_at"), F.asc("cache_key")], "_place")
+    return placed.filter(F.col("_place") <= max_items).drop("_place")
+
+
+def compact_cache(spark: SparkSession, path: str, now=None, ttl_days: float = CACHE_TTL_DAYS, max_items: int | None = None) -> None:
+    """Rewrite the cache table: one entry a key, nothing expired, at most ``max_items`` if named.
+
+    The entries are written to the shared folder first, so the table is never
+    read while it is replaced, and a failed swap loses nothing that was staged.
+    Writers must be idle meanwhile.
+    """
+    kept = stage(retain(read_cache(spark, path, now, ttl_days), now, ttl_days, max_items), "cache")
+    _replace(kept.withColumns({"status": F.lit("done"), "written_on": F.to_date("written_at")}), path)
+
+
+def clear_cache(spark: SparkSession, path: str) -> None:
+    """Leave an empty cache table."""
+    _replace(spark.createDataFrame([], CACHE_SCHEMA), path)
+
+
+def _replace(table: DataFrame, path: str) -> None:
+    table.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("written_on").parquet(path)
 
 
 def append_results(results: DataFrame, path: str, now=None) -> None:
@@ -74,8 +93,13 @@ def append_results(results: DataFrame, path: str, now=None) -> None:
 
 
 def read_cache(spark: SparkSession, path: str, now: datetime | None = None, ttl_days: float | None = None) -> DataFrame:
-    """The cache table; with ``now`` and ``ttl_days`` expired day folders are not read."""
-    table = spark.read.schema(CACHE_SCHEMA).parquet(path)
+    """The cache table, empty where there is none yet; with ``now`` and ``ttl_days`` expired day folders are not read."""
+    try:
+        table = spark.read.schema(CACHE_SCHEMA).parquet(path)
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], CACHE_SCHEMA)
     if ttl_days is None:
         return table
     oldest = F.to_date(as_now(now) - F.lit(timedelta(days=ttl_days)))

@@ -27,7 +27,7 @@ from shelfvoice.functions.text import (
     render_prompt,
     trim_text,
 )
-from shelfvoice.operators.cache import append_results, valid_entries
+from shelfvoice.operators.cache import append_results, read_cache, valid_entries
 from shelfvoice.operators.joins import fits_broadcast, lookup_left
 from shelfvoice.schema import CACHE_TTL_DAYS, ERROR_PREVIEW_CHARS, MAX_RETRIES, RETRY_PAUSE_SECONDS, require_columns
 from shelfvoice.sources.workspace import stage
@@ -53,7 +53,7 @@ class LabelTask:
 
 @dataclass(frozen=True)
 class CallOptions:
-    """How ``fn`` is called. ``max_callers`` caps the tasks that call at a time."""
+    """How ``fn`` is called. ``max_callers`` is the number of tasks that call; default: one a core."""
 
     batch_size: int = 64
     max_retries: int = MAX_RETRIES
@@ -65,8 +65,12 @@ def call_function(work: DataFrame, fn: BatchFunction, options: CallOptions) -> D
     """Run ``fn`` over ``(cache_key, pieces)``; a failure is data, the job goes on.
 
     Texts are sent in batches. If a batch fails, its texts are tried one by one,
-    each up to ``max_retries`` times, so only texts that really fail are lost.
+    each up to ``max_retries`` times, so only texts that really fail are lost. An
+    answer that is missing or no text is a failure too. The work is dealt over a
+    fixed number of tasks, so that a few short texts are not called from one.
     """
+    # Plain values: workers then need nothing of this package to load the function.
+    batch_size, max_retries, pause = options.batch_size, options.max_retries, options.pause
 
     def run(frames):
         import time
@@ -77,16 +81,18 @@ def call_function(work: DataFrame, fn: BatchFunction, options: CallOptions) -> D
             out = list(fn(texts))
             if len(out) != len(texts):
                 raise ValueError(f"expected {len(texts)} results, got {len(out)}")
+            if not all(isinstance(o, str) for o in out):
+                raise ValueError("an answer is missing or not a text")
             return out
 
         def one(pieces):
-            for attempt in range(options.max_retries):
+            for attempt in range(max_retries):
                 try:
                     return call(pieces), None
                 except Exception as problem:  # noqa: BLE001 - any failure becomes data
                     message = str(problem) or type(problem).__name__
-                    if attempt + 1 < options.max_retries:
-                        time.sleep(options.pause)
+                    if attempt + 1 < max_retries:
+                        time.sleep(pause)
             return None, message
 
         def batch(group):
@@ -99,8 +105,8 @@ def call_function(work: DataFrame, fn: BatchFunction, options: CallOptions) -> D
         for frame in frames:
             texts = [list(p) for p in frame["pieces"]]
             done = []
-            for i in range(0, len(texts), options.batch_size):
-                done += batch(texts[i : i + options.batch_size])
+            for i in range(0, len(texts), batch_size):
+                done += batch(texts[i : i + batch_size])
             yield pd.DataFrame(
                 {
                     "cache_key": frame["cache_key"],
@@ -109,9 +115,8 @@ def call_function(work: DataFrame, fn: BatchFunction, options: CallOptions) -> D
                 }
             )
 
-    if options.max_callers is not None:
-        work = work.repartition(options.max_callers, "cache_key")
-    return work.mapInPandas(run, _CALL_SCHEMA)
+    callers = options.max_callers or work.sparkSession.sparkContext.defaultParallelism
+    return work.repartition(callers, "cache_key").mapInPandas(run, _CALL_SCHEMA)
 
 
 def _known(asked: DataFrame, cache: DataFrame, now, ttl_days: float) -> DataFrame:
@@ -138,7 +143,14 @@ def _resolve(
     now,
     ttl_days: float,
 ) -> DataFrame:
-    """Outcome of each distinct requested ``(cache_key, text)``, staged so that no call runs twice."""
+    """Outcome of each distinct requested ``(cache_key, text)``, staged so that no call runs twice.
+
+    The table at ``cache_path`` is read before any call, as far as its days are
+    valid, and gets the new results afterwards. It need not exist yet.
+    """
+    if cache_path is not None:
+        stored = read_cache(asked.sparkSession, cache_path, now, ttl_days).select("cache_key", "value", "written_at", "status")
+        cache = stored if cache is None else _with_status(cache).unionByName(stored)
     if cache is None:
         work, hits = asked.distinct(), None
     else:
@@ -160,6 +172,12 @@ def _resolve(
     return new if hits is None else hits.unionByName(new)
 
 
+def _with_status(cache: DataFrame) -> DataFrame:
+    """A cache frame without a status holds successes."""
+    status = F.col("status") if "status" in cache.columns else F.lit("done")
+    return cache.select("cache_key", "value", "written_at", status.alias("status"))
+
+
 def _value(status: Column, value: Column, head: Column) -> Column:
     """Blank requests (no status) are empty, failures carry the start of their text."""
     failed = F.concat(F.lit("[error: "), head, F.lit("]"))
@@ -208,7 +226,9 @@ def _attach(keyed: DataFrame, columns: list[str], requests: list[_Request], outc
         F.coalesce("_status", F.lit("blank")).alias("status"),
         F.col("_error").alias("error_class"),
     ]
-    kept = [F.col(f"`{c}`") for c in columns]
+    # A column that is made again is replaced.
+    made = {r.target.lower() for r in requests}
+    kept = [F.col(f"`{c}`") for c in columns if c.lower() not in made]
 
     def head(r: _Request) -> Column:
         return preview_text(F.col(r.shown), ERROR_PREVIEW_CHARS).alias("_head")

@@ -15,7 +15,6 @@ from shelfvoice.schema import MIN_TEXT_LENGTH, REVIEW_TYPE
 FACETS = ["Brand", "Asin", "Rating", REVIEW_TYPE]
 ALL_VALUES = "all"
 ROW_RANGE = "row_range"
-_TOP_ROWS = 10_000
 
 
 def facet_predicate(filters: dict) -> Column:
@@ -27,13 +26,12 @@ def facet_predicate(filters: dict) -> Column:
 def row_range(df: DataFrame, start: int, end: int, order_by: str = "ID", dense: bool = False) -> DataFrame:
     """Rows ``[start, end)`` by position in ``order_by``.
 
-    Dense ids make this a plain filter. A short range is a bounded top-n; a long
-    one numbers the rows first, so that no task holds the whole range.
+    Dense ids make this a plain filter. Otherwise the rows are numbered, whatever
+    the range, so that no task holds it; rows that tie in ``order_by`` are ordered
+    by a hash of the whole row.
     """
     if dense:
         return df.filter((F.col(order_by) > start) & (F.col(order_by) <= end))
-    if end <= _TOP_ROWS:
-        return df.orderBy(order_by).limit(end).offset(start)
     numbered = assign_row_ids(df, [order_by], "_position")
     return numbered.filter((F.col("_position") > start) & (F.col("_position") <= end)).drop("_position")
 

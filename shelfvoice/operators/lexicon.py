@@ -9,26 +9,19 @@ every keyword.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from shelfvoice.functions.numbers import half_even, percent
-from shelfvoice.functions.text import contains_ci, trim_text
+from shelfvoice.functions.text import trim_text
 from shelfvoice.schema import CATEGORIES_SHOWN, KEYWORDS_SHOWN, REVIEW_TYPE, TRANSLATED_NAMES
 from shelfvoice.sources.readers import literal_table
 
-# Above this many keywords one automaton pass beats one substring test each
-# (measured: equal at about 30 keywords, three times faster at 200).
-EXPRESSION_KEYWORDS = 50
-# Keywords per automaton; a longer lexicon is matched in several passes.
-AUTOMATON_KEYWORDS = 100_000
+# A lexicon is kept by hand; one beyond this is refused, since its keywords are part of the plan.
+MAX_KEYWORDS = 100_000
 
 # ---------------------------------------------------------------- upkeep
 
@@ -74,8 +67,10 @@ class Lexicon:
 
     @staticmethod
     def of(table: DataFrame) -> Lexicon:
-        """Read a normalised lexicon table; it is kept by hand and never grows with the reviews."""
-        rows = table.select("main", "sub", "keyword").collect()
+        """Read a normalised lexicon table; more than ``MAX_KEYWORDS`` rows are refused, none is dropped."""
+        rows = table.select("main", "sub", "keyword").limit(MAX_KEYWORDS + 1).collect()
+        if len(rows) > MAX_KEYWORDS:
+            raise ValueError(f"a lexicon of more than {MAX_KEYWORDS} rows is not kept by hand")
         return Lexicon(tuple(sorted({(r.main, r.sub, r.keyword) for r in rows})))
 
     @property
@@ -94,56 +89,51 @@ def flag_name(main: str, sub: str) -> str:
     return f"is_{re.sub(r'[ .`]', '_', main)}__{re.sub(r'[ .`]', '_', sub)}"
 
 
-def _any_keyword(lower_text: Column, keywords: list[str]) -> Column:
-    hit = reduce(lambda a, b: a | b, [contains_ci(lower_text, k) for k in keywords])
-    return F.coalesce(hit, F.lit(False))
+def flag_names(categories: list[tuple[str, str]]) -> dict[tuple[str, str], str]:
+    """Public column of each category, unique also where case does not count; clashes get a running number."""
+    names: dict[tuple[str, str], str] = {}
+    taken: set[str] = set()
+    for category in categories:
+        plain = name = flag_name(*category)
+        n = 1
+        while name.lower() in taken:
+            n += 1
+            name = f"{plain}_{n}"
+        taken.add(name.lower())
+        names[category] = name
+    return names
 
 
-def _held_keywords(lower_text: Column, keywords: list[str]) -> Column:
-    tests = [F.when(contains_ci(lower_text, k), F.lit(k)) for k in keywords]
-    return F.array_compact(F.array(*tests)) if tests else F.array().cast("array<string>")
+def _usable(keywords: list[str]) -> list[str]:
+    """Distinct keywords in order; blank ones match nothing, as in a normalised lexicon."""
+    return sorted({k for k in keywords if k.strip()})
 
 
-def _with_automaton(df: DataFrame, column: str, keywords: list[str], out: str) -> DataFrame:
-    """Array of held keywords from an Aho-Corasick automaton, Arrow batch by batch."""
-    # Case is folded by Spark on both sides, so that both agree.
-    lowered = literal_table(df.sparkSession, [(k,) for k in keywords], ["k"]).select("k", F.lower("k").alias("low"))
-    by_low: dict[str, list[str]] = {}
-    for row in lowered.collect():
-        by_low.setdefault(row.low, []).append(row.k)
-    shared = df.sparkSession.sparkContext.broadcast(by_low)
+def _lowered(keywords: list[str]) -> Column:
+    """Constant array of ``(k, low)``; Spark folds the case on both sides."""
+    return F.array(*[F.struct(F.lit(k).alias("k"), F.lower(F.lit(k)).alias("low")) for k in keywords])
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def held(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import ahocorasick
 
-        automaton = ahocorasick.Automaton()
-        for low, originals in shared.value.items():
-            automaton.add_word(low, originals)
-        automaton.make_automaton()
-        for texts in batches:
-            found = [
-                sorted({k for _, originals in automaton.iter(t) for k in originals}) if t else []
-                for t in texts
-            ]
-            yield pd.Series(found, dtype=object)
+def _any_keyword(lower_text: Column, keywords: list[str]) -> Column:
+    usable = _usable(keywords)
+    if not usable:
+        return F.lit(False)
+    return F.coalesce(F.exists(_lowered(usable), lambda x: F.contains(lower_text, x["low"])), F.lit(False))
 
-    return df.withColumn(out, held(F.lower(F.col(column))))
+
+def _held_keywords(lower_text: Column, keywords: list[str]) -> Column:
+    """Sorted keywords that a text holds; one expression for a lexicon of any size."""
+    usable = _usable(keywords)
+    if not usable:
+        return F.array().cast("array<string>")
+    held = F.filter(_lowered(usable), lambda x: F.coalesce(F.contains(lower_text, x["low"]), F.lit(False)))
+    return F.transform(held, lambda x: x["k"])
 
 
 def add_matches(df: DataFrame, keywords: list[str], column: str = "Content", out: str = "Matches") -> DataFrame:
     """Add the sorted array of keywords each text holds; missing text holds none."""
-    keywords = sorted(set(keywords))
-    if len(keywords) <= EXPRESSION_KEYWORDS:
-        low = df.withColumn("_low", F.lower(F.col(column)))
-        return low.withColumn(out, _held_keywords(F.col("_low"), keywords)).drop("_low")
-    passes = [keywords[i : i + AUTOMATON_KEYWORDS] for i in range(0, len(keywords), AUTOMATON_KEYWORDS)]
-    names = [f"_pass{i}" for i in range(len(passes))]
-    for name, part in zip(names, passes):
-        df = _with_automaton(df, column, part, name)
-    if len(names) == 1:
-        return df.withColumnRenamed(names[0], out)
-    return df.withColumn(out, F.array_sort(F.concat(*names))).drop(*names)
+    low = df.withColumn("_low", F.lower(F.col(column)))
+    return low.withColumn(out, _held_keywords(F.col("_low"), keywords)).drop("_low")
 
 
 def match_array(df: DataFrame, keywords: list[str], column: str = "Content") -> DataFrame:
@@ -156,17 +146,13 @@ def matched_only(matched: DataFrame) -> DataFrame:
 
 
 def add_flags(df: DataFrame, lexicon: Lexicon, column: str = "Content") -> DataFrame:
-    """Add one boolean column per category to the rows themselves."""
-    if len(lexicon.keywords) <= EXPRESSION_KEYWORDS:
-        low = df.withColumn("_low", F.lower(F.col(column)))
-        flags = {flag_name(*c): _any_keyword(F.col("_low"), lexicon.keywords_of(c)) for c in lexicon.categories}
-        return low.withColumns(flags).drop("_low")
-    held = add_matches(df, lexicon.keywords, column, "_held")
-    flags = {
-        flag_name(*c): F.arrays_overlap("_held", F.array(*map(F.lit, lexicon.keywords_of(c))))
-        for c in lexicon.categories
-    }
-    return held.withColumns(flags).drop("_held")
+    """Add one boolean column per category to the rows themselves, named by :func:`flag_names`."""
+    low = df.withColumn("_low", F.lower(F.col(column)))
+    names = flag_names(lexicon.categories)
+    clash = {n.lower() for n in names.values()} & {c.lower() for c in df.columns}
+    if clash:
+        raise ValueError(f"the table has columns with the names of flags: {sorted(clash)}")
+    return low.withColumns({names[c]: _any_keyword(F.col("_low"), lexicon.keywords_of(c)) for c in lexicon.categories}).drop("_low")
 
 
 def tag_projection(df: DataFrame) -> DataFrame:
@@ -179,8 +165,10 @@ def category_flags(df: DataFrame, lexicon: Lexicon) -> DataFrame:
     return add_flags(tag_projection(df), lexicon)
 
 
-def flag_filter(flagged: DataFrame, main: str, sub: str) -> DataFrame:
-    return flagged.filter(F.col(f"`{flag_name(main, sub)}`"))
+def flag_filter(flagged: DataFrame, main: str, sub: str, lexicon: Lexicon | None = None) -> DataFrame:
+    """Rows of one category; name the lexicon where names of categories clash."""
+    name = flag_names(lexicon.categories)[main, sub] if lexicon else flag_name(main, sub)
+    return flagged.filter(F.col(f"`{name}`"))
 
 
 def _each_keyword(df: DataFrame, keywords: list[str], column: str, *carried: str) -> DataFrame:
@@ -189,12 +177,8 @@ def _each_keyword(df: DataFrame, keywords: list[str], column: str, *carried: str
     The array is built inside ``explode``: exploding it as a column would make
     Catalyst filter on its size first, which matches every text twice.
     """
-    if len(set(keywords)) <= EXPRESSION_KEYWORDS:
-        low = df.select(*carried, F.lower(F.col(column)).alias("_low"))
-        held = _held_keywords(F.col("_low"), sorted(set(keywords)))
-        return low.select(*carried, F.explode(held).alias("keyword"))
-    matched = add_matches(df.select(*carried, column), keywords, column, "_held")
-    return matched.select(*carried, F.explode(F.array_compact("_held")).alias("keyword"))
+    low = df.select(*carried, F.lower(F.col(column)).alias("_low"))
+    return low.select(*carried, F.explode(_held_keywords(F.col("_low"), keywords)).alias("keyword"))
 
 
 def lexicon_join(df: DataFrame, lexicon: Lexicon, column: str = "Content", id_col: str = "ID") -> DataFrame:
@@ -218,10 +202,10 @@ def category_stats(df: DataFrame, lexicon: Lexicon, column: str = "Content") ->
     One aggregation over the flags; only one row of counters leaves each task.
     """
     categories = lexicon.categories
-    flagged = add_flags(df.select(column), lexicon, column)
-    counts = flagged.agg(
+    low = df.select(F.lower(F.col(column)).alias("_low"))
+    counts = low.agg(
         F.count(F.lit(1)).alias("_n"),
-        *[F.count_if(F.col(f"`{flag_name(*c)}`")).alias(f"_c{i}") for i, c in enumerate(categories)],
+        *[F.count_if(_any_keyword(F.col("_low"), lexicon.keywords_of(c))).alias(f"_c{i}") for i, c in enumerate(categories)],
     )
     rows = F.array(
         *[
@@ -262,10 +246,11 @@ def top_keywords(frequency: DataFrame, n: int = KEYWORDS_SHOWN) -> DataFrame:
 
 
 def category_ranking(stats: DataFrame, by: str = "pct", descending: bool = True) -> DataFrame:
-    """Categories by ``pct``, ``matched`` or ``name`` in either direction."""
+    """Categories by ``pct``, ``matched`` or ``name`` in either direction, with their ``rank``."""
     keys = ["main", "sub"] if by == "name" else [by]
     order = [F.desc(k) if descending else F.asc(k) for k in keys]
-    return stats.orderBy(*order, "main", "sub")
+    # One row a category: a lexicon's size.
+    return stats.withColumn("rank", F.row_number().over(W.orderBy(*order, "main", "sub")).cast("bigint")).orderBy("rank")
 
 
 def top_categories(stats: DataFrame, n: int = CATEGORIES_SHOWN) -> DataFrame:

@@ -46,13 +46,13 @@ def assign_row_ids(
 
     Range partitions are sorted and written once; the id is the place inside the
     partition plus the rows of the partitions before it. Rows that tie are
-    ordered by a hash of the whole row, which also splits large groups of ties.
-    Only rows equal in every column stay together; a scan that keeps its input
-    position has none.
+    ordered by a hash of the whole row, and equal rows by their place in the
+    input, so that large groups of ties or of equal rows are split.
     """
     kept = [F.col(f"`{c}`") for c in keep or df.columns]
-    keys = [*order_by, F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])]
-    ordered = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    placed = df.withColumns({"_tie": F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), "_place_in": F.monotonically_increasing_id()})
+    keys = [*order_by, "_tie", "_place_in"]
+    ordered = placed.repartitionByRange(*keys).sortWithinPartitions(*keys)
     placed = stage(ordered.select(*kept, F.monotonically_increasing_id().alias("_slot")), "row-ids")
     part = F.shiftright("_slot", _SLOT_BITS)
     sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))

@@ -82,17 +82,22 @@ def _type_map() -> Column:
     return F.map_filter(F.create_map(*pairs), lambda _, n: n > 0)
 
 
+def _keyed(df: DataFrame, by: str | list[str]) -> DataFrame:
+    """Rows that have all parts of the key, tested before the key is built."""
+    return df.dropna(subset=[by] if isinstance(by, str) else list(by))
+
+
 def group_stats(df: DataFrame, by: str | list[str], with_types: bool = False) -> DataFrame:
     """Count, mean and deviation per group, optionally with the type distribution.
 
     A list of columns gives the key ``A - B``; rows lacking a part are left out.
     """
     measures = _rating_measures() + ([_type_map().alias("type_dist")] if with_types else [])
-    return df.groupBy(_group(by).alias("grp")).agg(*measures).filter("grp IS NOT NULL")
+    return _keyed(df, by).groupBy(_group(by).alias("grp")).agg(*measures)
 
 
 def group_type_map(df: DataFrame, by: str | list[str]) -> DataFrame:
-    return df.groupBy(_group(by).alias("grp")).agg(_type_map().alias("type_dist")).filter("grp IS NOT NULL")
+    return _keyed(df, by).groupBy(_group(by).alias("grp")).agg(_type_map().alias("type_dist"))
 
 
 def group_stats_multikey(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -112,17 +117,20 @@ def rating_crosstab(df: DataFrame, by: str | list[str]) -> DataFrame:
     return counts.withColumn("pct", percent(F.col("n_reviews"), in_group, None))
 
 
-def rating_crosstab_wide(df: DataFrame, by: str | list[str]) -> DataFrame:
-    """One row per group with a share column for each rating of the scale."""
+def rating_crosstab_wide(df: DataFrame, by: str | list[str], ratings: list[float] = RATING_SCALE) -> DataFrame:
+    """One row per group with a share column for each named rating, and ``rating_other`` for all others."""
+    is_named = F.col("Rating").isin([float(r) for r in ratings])
+    names = [f"rating_{r:g}".replace(".", "_") for r in ratings]
     counts = (
         _rated(df, by)
         .groupBy("grp")
         .agg(
             F.count(F.lit(1)).alias("_n"),
-            *[F.count_if(F.col("Rating") == r).alias(f"_r{r}") for r in RATING_SCALE],
+            *[F.count_if(F.col("Rating") == r).alias(n) for n, r in zip(names, ratings)],
+            F.count_if(~is_named).alias("rating_other"),
         )
     )
-    return counts.select("grp", *[percent(F.col(f"_r{r}"), F.col("_n"), None).alias(f"rating_{r}") for r in RATING_SCALE])
+    return counts.select("grp", *[percent(F.col(n), F.col("_n"), None).alias(n) for n in [*names, "rating_other"]])
 
 
 def rating_shares(df: DataFrame, by: str | list[str], group: str | None = None) -> DataFrame:
@@ -133,14 +141,8 @@ def rating_shares(df: DataFrame, by: str | list[str], group: str | None = None)
 
 def rating_trend(df: DataFrame, by: str | None = None) -> DataFrame:
     """Mean rating by month, overall or by one column; undated reviews are left out."""
-    keys = [month_bucket(F.col("Date")).alias("month")]
-    present = "month IS NOT NULL"
-    if by is not None:
-        keys.append(F.col(f"`{by}`").alias("grp"))
-        present += " AND grp IS NOT NULL"
-    return (
-        df.filter("Date IS NOT NULL")
-        .groupBy(*keys)
-        .agg(F.avg("Rating").alias("avg_rating"))
-        .filter(present)
-    )
+    keys = [] if by is None else [F.col(f"`{by}`").alias("grp")]
+    dated = df.filter("Date IS NOT NULL") if by is None else df.dropna(subset=["Date", by])
+    # Months are grouped as dates and written out once a group.
+    means = dated.groupBy(F.trunc("Date", "month").alias("_month"), *keys).agg(F.avg("Rating").alias("avg_rating"))
+    return means.select(month_bucket(F.col("_month")).alias("month"), *(["grp"] if keys else []), "avg_rating")

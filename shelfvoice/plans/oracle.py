@@ -64,9 +64,11 @@ LINE = f"""line AS (
   SELECT 'A' || l_partkey AS "Asin", l_returnflag || l_linestatus AS "Model", CAST(ceil(l_quantity / 10) AS DOUBLE) AS "Rating",
          l_shipdate AS "Date", {_bucket('ceil(l_quantity / 10)')} AS "Review Type", {ORDER}
   FROM lineitem)"""
-BR = """br AS (
-  SELECT 'A' || p_partkey AS asin, p_brand AS brand, 'A' || (p_partkey + 1) AS parent, p_partkey AS ord
-  FROM part WHERE p_partkey % 3 = 0)"""
+RAW_BRAND = "CASE p_partkey % 3 WHEN 0 THEN p_brand WHEN 2 THEN '  ' END"
+BR = f"""br AS (
+  SELECT 'A' || p_partkey AS asin, nullif(trim({RAW_BRAND}), '') AS brand, {RAW_BRAND} AS raw_brand, 'A' || (p_partkey + 1) AS parent,
+         p_partkey AS ord
+  FROM part)"""
 # In BR product and parent keys are unique, so no dedupe is needed here.
 BRANDED = f"""{LINE}, {BR}, branded AS (
   SELECT line.*, coalesce(a.brand, b.brand) AS "Brand"
@@ -132,7 +134,7 @@ known AS (SELECT DISTINCT full_norm FROM masked WHERE "Model" = 'de'),
 cut AS (SELECT "ID", norm, {_chunks('norm')} AS pieces, norm IN (SELECT full_norm FROM known) AS is_known FROM masked),
 done AS (
   SELECT "ID", norm, pieces, CASE WHEN coalesce(norm, '') = '' THEN 'blank' WHEN is_known THEN 'cached'
-              WHEN contains(norm, 'license') OR contains(norm, 'heed') THEN 'failed' ELSE 'done' END AS status
+              WHEN contains(norm, 'license') OR contains(norm, 'heed') OR contains(norm, 'than') THEN 'failed' ELSE 'done' END AS status
   FROM cut)"""
 
 
@@ -172,16 +174,16 @@ def oracle_sql() -> dict[str, str]:
     out = {
         "scan_reviews_csv": f"{raw} SELECT {RAW_COLUMNS} FROM raw",
         "scan_reviews_json": f"{raw} SELECT {RAW_COLUMNS} FROM raw",
-        "scan_brands": f"""WITH {BR} SELECT asin || ' ' AS "ASIN", brand AS "Brand", parent AS "Parent ASIN", true AS has_parent FROM br""",
+        "scan_brands": f"""WITH {BR} SELECT asin || ' ' AS "ASIN", raw_brand AS "Brand", parent AS "Parent ASIN", true AS has_parent FROM br""",
         "write_tsv": text
         + """SELECT CAST("ID" AS VARCHAR) AS "ID", "Title", "Content", CAST("Rating" AS VARCHAR) AS "Rating",
              strftime("Date", '%Y-%m-%d %H:%M:%S') AS "Date" FROM text_reviews""",
         "write_results": text + "SELECT * FROM text_reviews",
         "export_projection": text
         + """SELECT "ID", "Asin", "Title", "Model", "Rating", "Date", "Review Type", '[x] ' || "Content" AS "Content_zh" FROM text_reviews""",
-        "cache_file_scan": "SELECT DISTINCT 'value=' || event_type AS folder, true AS has_bytes, true AS has_time FROM events",
-        "cache_storage": """SELECT 'value=' || event_type AS folder, CAST(1 AS BIGINT) AS n_files, true AS has_bytes FROM events GROUP BY event_type
-            UNION ALL SELECT NULL, count(DISTINCT event_type), true FROM events""",
+        "cache_file_scan": "SELECT 'value=' || event_type AS folder, 33 * count(*) AS n_bytes, true AS has_time FROM events GROUP BY event_type",
+        "cache_storage": """SELECT 'value=' || event_type AS folder, CAST(1 AS BIGINT) AS n_files, 33 * count(*) AS n_bytes FROM events GROUP BY event_type
+            UNION ALL SELECT NULL, count(DISTINCT event_type), 33 * count(*) FROM events""",
         # cleaning
         "process_reviews": _processed(
             f"""{RAW}, num AS (SELECT row_number() OVER (ORDER BY {ORDER}) AS "ID", {RAW_COLUMNS} FROM raw)"""
@@ -208,7 +210,7 @@ def oracle_sql() -> dict[str, str]:
         + """SELECT * EXCLUDE (pos) FROM (SELECT *, row_number() OVER (ORDER BY "ID") AS pos FROM text_reviews
              WHERE "Review Type" = 'positive') WHERE pos > 10 AND pos <= 60""",
         "row_range_long": """SELECT * EXCLUDE (pos, o_orderkey), o_orderkey AS "ID" FROM (
-             SELECT *, row_number() OVER (ORDER BY o_orderkey) AS pos FROM orders WHERE o_orderstatus = 'O')
+             SELECT *, row_number() OVER (ORDER BY o_orderkey) AS pos FROM orders)
              WHERE pos > 100 AND pos <= 20000""",
         "min_length": text + """SELECT "ID", "Content" FROM text_reviews WHERE length("Content") >= 200""",
         "in_list": line + """SELECT * FROM line WHERE "Asin" IN ('A1', 'A17', 'A150')""",
@@ -221,7 +223,7 @@ def oracle_sql() -> dict[str, str]:
              {_half_even('avg("Rating")')} AS avg_rating FROM line""",
         "matched_only": f"""WITH {MATCHED} SELECT "ID", "Match_Count" FROM matched WHERE "Match_Count" > 0""",
         "nonblank": text + """SELECT "ID", "Content" FROM text_reviews WHERE "ID" % 3 <> 0 AND "ID" % 5 <> 0 AND trim("Content") <> ''""",
-        "nonzero_share": _crosstab('"Model"'),
+        "nonzero_share": f"""WITH t AS ({_crosstab(am)}) SELECT grp, 'rating_' || CAST("Rating" AS INT) AS rating, pct FROM t""",
         "filter_selectivity": text
         + f"""SELECT count(*) FILTER (k) AS n_kept, count(*) AS n_all, {_half_even('avg("Rating") FILTER (k)', 1)} AS avg_rating,
              {_pct('count(*) FILTER (k)', 'count(*)', 1)} AS pct_kept
@@ -235,9 +237,9 @@ def oracle_sql() -> dict[str, str]:
         "brand_join": f"""WITH {LINE}, {BR} SELECT line.*, a.brand AS "Brand" FROM line LEFT JOIN br a ON line."Asin" = a.asin""",
         "brand_join_parent": branded + "SELECT * FROM branded",
         "brand_dedupe": f"""WITH {BR}, dup AS (SELECT asin || ' ' AS asin, 'stale' AS brand, parent, -1 AS ord FROM br
-             UNION ALL SELECT asin || ' ', brand, parent, ord FROM br)
-             SELECT asin AS "ASIN", arg_max(brand, ord) AS "Brand", arg_max(parent, ord) AS "Parent ASIN", CAST(max(ord) AS BIGINT) AS ord
-             FROM dup GROUP BY asin""",
+             UNION ALL SELECT asin || ' ', raw_brand, parent, ord FROM br)
+             SELECT asin AS "ASIN", brand AS "Brand", parent AS "Parent ASIN", CAST(ord AS BIGINT) AS ord
+             FROM dup QUALIFY row_number() OVER (PARTITION BY asin ORDER BY ord DESC) = 1""",
         "brand_match_report": f"""WITH {LINE}, {BR}, j AS (
              SELECT a.brand AS direct, b.brand AS parent FROM line LEFT JOIN br a ON line."Asin" = a.asin LEFT JOIN br b ON line."Asin" = b.parent)
              SELECT count(*) AS total, count(coalesce(direct, parent)) AS matched, count(direct) AS first_round,
@@ -245,9 +247,9 @@ def oracle_sql() -> dict[str, str]:
                {_pct('count(coalesce(direct, parent))', 'count(*)', 1)} AS match_rate FROM j""",
         "attach_labels": text + f"SELECT *, {FLAGS} FROM text_reviews",
         "lexicon_join": f"""WITH {HITS} SELECT "ID", main, sub, keyword FROM hits""",
-        "dense_types": text
-        + """SELECT d.t AS review_type, count(r."ID") AS n_reviews FROM (VALUES ('positive'), ('neutral'), ('negative')) d(t)
-             LEFT JOIN text_reviews r ON r."Review Type" = d.t AND r."Rating" <> 3 GROUP BY d.t""",
+        "dense_types": line
+        + """SELECT d.t AS review_type, count(r."Asin") AS n_reviews FROM (VALUES ('positive'), ('neutral'), ('negative')) d(t)
+             LEFT JOIN line r ON r."Review Type" = d.t AND d.t <> 'neutral' GROUP BY d.t""",
         "cache_split": f"""WITH {VALID}, {REQUESTS} SELECT r.cache_key, v.value, v.value IS NOT NULL AS is_hit
              FROM requests r LEFT JOIN valid v ON r.cache_key = v.cache_key""",
         # statistics
@@ -275,7 +277,7 @@ def oracle_sql() -> dict[str, str]:
         "rating_crosstab_wide": branded
         + 'SELECT "Brand" AS grp, '
         + ", ".join(f"""{_share(f'count(*) FILTER ("Rating" = {r})', 'count("Rating")')} AS rating_{r}""" for r in range(1, 6))
-        + """ FROM branded WHERE "Brand" IS NOT NULL GROUP BY "Brand" """,
+        + f""", {_share('count(*) FILTER ("Rating" NOT IN (1, 2, 3, 4, 5))', 'count("Rating")')} AS rating_other FROM branded WHERE "Brand" IS NOT NULL GROUP BY "Brand" """,
         "group_stats_multikey": branded
         + f"""SELECT "Brand", "Model", count("Rating") AS n_reviews, {_half_even('avg("Rating")')} AS avg_rating,
              {_half_even('stddev_samp("Rating")')} AS std_rating FROM branded WHERE "Brand" IS NOT NULL AND "Model" IS NOT NULL GROUP BY ALL""",
@@ -324,10 +326,10 @@ def oracle_sql() -> dict[str, str]:
         # lexicon
         "lexicon_normalise": f"""WITH {PART_ENTRIES} SELECT DISTINCT main, sub, trim(k) AS keyword
              FROM (SELECT main, sub, unnest(string_split(keywords, ',')) AS k FROM entries) WHERE trim(k) <> ''""",
-        "lexicon_upsert": """SELECT DISTINCT p_type AS main, p_brand AS sub, p_name AS keyword FROM part p WHERE p_size = 45
-             OR (p_size <= 40 AND NOT EXISTS (SELECT 1 FROM part q WHERE q.p_size = 45 AND q.p_type = p.p_type AND q.p_brand = p.p_brand))""",
+        "lexicon_upsert": """SELECT DISTINCT p_type AS main, p_brand AS sub, p_name AS keyword FROM part p WHERE p_size >= 45
+             OR (p_size <= 44 AND NOT EXISTS (SELECT 1 FROM part q WHERE q.p_size >= 45 AND q.p_type = p.p_type AND q.p_brand = p.p_brand))""",
         "lexicon_delete": """SELECT DISTINCT p_type AS main, p_brand AS sub, p_name AS keyword FROM part p
-             WHERE p_size > 0 AND NOT EXISTS (SELECT 1 FROM part q WHERE q.p_size = 45 AND q.p_type = p.p_type AND q.p_brand = p.p_brand)""",
+             WHERE NOT EXISTS (SELECT 1 FROM part q WHERE q.p_size = 45 AND q.p_type = p.p_type AND q.p_brand = p.p_brand)""",
         "lexicon_upgrade": """SELECT coalesce(k.main, 'other') AS main, p_name AS sub, lower(p_brand) AS keywords FROM part LEFT JOIN
              (SELECT p_name AS name, min(p_type) AS main FROM part WHERE p_size < 2 GROUP BY p_name) k ON p_name = k.name""",
         "match_array": f"""WITH {MATCHED} SELECT "ID", matches, "Match_Count" FROM matched""",
@@ -348,7 +350,7 @@ def oracle_sql() -> dict[str, str]:
              WHERE "Match_Count" > 0 AND "Rating" IS NOT NULL GROUP BY "Rating" """,
         "top_keywords": f"""WITH {FREQUENCY} SELECT * FROM freq
              QUALIFY row_number() OVER (PARTITION BY main, sub ORDER BY n DESC, keyword) <= 1""",
-        "category_ranking": f"WITH {CATEGORIES} SELECT * FROM stats",
+        "category_ranking": f"WITH {CATEGORIES} SELECT *, row_number() OVER (ORDER BY matched, main, sub) AS rank FROM stats",
         "top_categories": f"WITH {CATEGORIES} SELECT * FROM stats ORDER BY pct DESC, main, sub LIMIT 3",
         # enrichment
         "normalise_text": text + f"""SELECT "ID", {_normalise('"Content"')} AS normalised FROM text_reviews""",
@@ -377,7 +379,7 @@ def oracle_sql() -> dict[str, str]:
         + f"""SELECT "ID", CASE WHEN {_trim('"Content"')} = '' THEN '' ELSE {_trim("'[x] Theme of: ' || " + '"Content"')} END AS theme,
              '[x] Origin of ' || "Title" || ', see {{notes}}' AS origin, '[x] Same for all' AS fixed FROM text_reviews""",
         "enrich_failures": f"""WITH {PART_CACHED} SELECT "ID", status,
-             CASE WHEN status = 'failed' THEN CASE WHEN contains(norm, 'license') THEN 'rate_limited' ELSE 'timeout' END END AS error_class,
+             CASE WHEN status = 'failed' THEN CASE WHEN contains(norm, 'license') THEN 'rate_limited' WHEN contains(norm, 'heed') THEN 'timeout' ELSE 'other' END END AS error_class,
              CASE status WHEN 'blank' THEN '' WHEN 'cached' THEN 'kept' WHEN 'done' THEN {MARKED}
                ELSE '[error: ' || CASE WHEN length(norm) > 50 THEN substr(norm, 1, 50) || '...' ELSE norm END || ']' END AS "Content_zh"
              FROM done""",
@@ -387,8 +389,9 @@ def oracle_sql() -> dict[str, str]:
              FROM done""",
         "cache_read_through": f"""WITH {VALID}, {REQUESTS} SELECT r.cache_key, coalesce(v.value, '[x] ' || r.text) AS value,
              CASE WHEN v.value IS NULL THEN 'done' ELSE 'cached' END AS status, 'cached' AS status_again,
-             coalesce(v.value, '[x] ' || r.text) AS value_again
+             coalesce(v.value, '[x] ' || r.text) AS value_again, CAST(v.value IS NULL AS BIGINT) AS n_stored
              FROM requests r LEFT JOIN valid v ON r.cache_key = v.cache_key""",
+        "cache_compacted": f"WITH {VALID} SELECT cache_key, value, written_at FROM valid",
         "cache_retention": f"WITH {VALID} SELECT * FROM valid ORDER BY written_at DESC, cache_key LIMIT 100",
         "cache_report": f"""WITH {CACHE} SELECT count(*) AS n_items, count(*) FILTER ({FRESH}) AS n_valid,
              count(*) FILTER (NOT ({FRESH})) AS n_expired FROM cache""",

@@ -86,11 +86,11 @@ def line_reviews(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def brands(spark: SparkSession, sf: str) -> DataFrame:
-    """Every third part has a brand, which its successor inherits as parent."""
+    """All parts: every third has a brand, which its successor inherits as parent; the others' is missing or blank."""
     key = F.col("p_partkey")
-    return table(spark, sf, "part").filter(key % 3 == 0).select(
+    return table(spark, sf, "part").select(
         F.concat(F.lit("A"), key.cast("string"), F.lit(" ")).alias("ASIN"),
-        F.col("p_brand").alias("Brand"),
+        F.when(key % 3 == 0, F.col("p_brand")).when(key % 3 == 2, F.lit("  ")).alias("Brand"),
         F.concat(F.lit("A"), (key + 1).cast("string")).alias("Parent ASIN"),
         key.alias("ord"),
     )

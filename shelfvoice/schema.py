@@ -29,7 +29,6 @@ RETRY_PAUSE_SECONDS = 1.0
 ERROR_PREVIEW_CHARS = 50
 SAMPLE_PREVIEW_CHARS = 100
 CACHE_TTL_DAYS = 30
-CACHE_MAX_ITEMS = 2000
 # ---------------------------------------------------------------------------
 
 REVIEW_TYPE = "Review Type"

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,11 +15,10 @@ ROW_COLUMN = "_row"
 POSITION_COLUMNS = [FILE_COLUMN, SPLIT_COLUMN, ROW_COLUMN]
 
 
-def _scan(spark: SparkSession, path: str, fmt: str) -> DataFrame:
+def _scan(spark: SparkSession, path: str, fmt: str, multi_line: bool = True) -> DataFrame:
     """Text formats are read as text only: types are coerced later, never guessed."""
     if fmt == "csv":
-        # Fields may span lines, so a file is one split.
-        return spark.read.csv(path, header=True, multiLine=True, escape='"', inferSchema=False)
+        return spark.read.csv(path, header=True, multiLine=multi_line, escape='"', inferSchema=False)
     if fmt == "json":
         return spark.read.json(path, primitivesAsString=True)
     if fmt == "parquet":
@@ -69,12 +68,14 @@ def spread_small(df: DataFrame) -> DataFrame:
     return df.repartition(cores)
 
 
-def read_reviews(spark: SparkSession, path: str, fmt: str = "csv", position: bool = True) -> DataFrame:
+def read_reviews(spark: SparkSession, path: str, fmt: str = "csv", position: bool = True, multi_line: bool = True) -> DataFrame:
     """Raw review table: checked for its columns, cut down to them.
 
     With ``position`` the input position comes along as ``_file, _split, _row``.
+    Fields of a CSV file may span lines, so a file is one split; where they do
+    not, ``multi_line=False`` lets large files be read by many tasks.
     """
-    df = _scan(spark, path, fmt)
+    df = _scan(spark, path, fmt, multi_line)
     require_columns(df, REQUIRED)
     if not position:
         return df.select(*REQUIRED)
@@ -94,12 +95,13 @@ def has_parent(brands: DataFrame) -> bool:
 
 
 def read_lexicon_json(spark: SparkSession, path: str) -> DataFrame:
-    """Nested lexicon file ``{main: {sub: "kw,kw"}}`` as ``(main, sub, keywords)``.
+    """Nested lexicon documents ``{main: {sub: "kw,kw"}}``, one a file or a line, as ``(main, sub, keywords)``.
 
     A flat file ``{name: "kw,kw"}`` gives rows with ``main`` NULL, which
     ``lexicon.upgrade_flat`` places.
     """
-    text = spark.read.text(path, wholetext=True).select(F.col("value").alias("doc"))
+    lines = spark.read.text(path, wholetext=True).select(F.explode(_documents(F.col("value"))).alias("doc"))
+    text = lines.filter(F.trim("doc") != "")
     top = text.select(
         F.explode(F.from_json("doc", T.MapType(T.StringType(), T.StringType()))).alias("name", "body")
     )
@@ -115,9 +117,16 @@ def read_lexicon_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_words_json(spark: SparkSession, path: str) -> DataFrame:
-    """Word list file ``["a", "b"]`` as ``(word)``."""
-    text = spark.read.text(path, wholetext=True)
-    return text.select(F.explode(F.from_json("value", T.ArrayType(T.StringType()))).alias("word"))
+    """Word list documents ``["a", "b"]``, one a file or a line, as ``(word)``."""
+    text = spark.read.text(path, wholetext=True).select(F.explode(_documents(F.col("value"))).alias("doc"))
+    return text.select(F.explode(F.from_json("doc", T.ArrayType(T.StringType()))).alias("word"))
+
+
+def _documents(file: Column) -> Column:
+    """The lines of a file if each is a JSON document, else the file as one."""
+    lines = F.filter(F.split(file, "\n"), lambda x: F.trim(x) != "")
+    whole = F.forall(lines, lambda x: F.json_object_keys(x).isNotNull() | F.json_array_length(x).isNotNull())
+    return F.when(whole, lines).otherwise(F.array(file))
 
 
 def scan_files(spark: SparkSession, path: str) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
 _local_root: str | None = None
+_staged: list[str] = []
 
 
 def work_root(spark: SparkSession) -> str:
@@ -39,4 +40,17 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
+    _staged.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def cleanup(spark: SparkSession) -> int:
+    """Remove the tables staged so far; call it when the results that rest on them are written. Returns their number.
+
+    Works on any file system that Spark reaches, through an empty overwrite.
+    """
+    n = 0
+    while _staged:
+        spark.createDataFrame([], "nothing int").coalesce(1).write.mode("overwrite").parquet(_staged.pop())
+        n += 1
+    return n

@@ -38,11 +38,15 @@ def write_results(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "e
 
 
 def write_lexicon_json(lexicon: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Lexicon as JSON lines ``{"main", "sub", "keywords"}``, keywords comma-joined."""
-    grouped = lexicon.groupBy("main", "sub").agg(
-        F.array_join(F.array_sort(F.collect_set("keyword")), ",").alias("keywords")
-    )
-    grouped.write.mode(mode).json(path)
+    """Lexicon as nested documents ``{main: {sub: "kw,kw"}}``, a line for each main category, as the reader takes them."""
+    subs = lexicon.groupBy("main", "sub").agg(F.array_join(F.array_sort(F.collect_set("keyword")), ",").alias("keywords"))
+    mains = subs.groupBy("main").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("sub", "keywords")))).alias("subs"))
+    mains.select(F.to_json(F.create_map("main", "subs")).alias("value")).write.mode(mode).text(path)
+
+
+def write_words_json(words: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Word list as documents of one word a line, so that a long list is written by many tasks."""
+    words.select(F.to_json(F.array("word")).alias("value")).write.mode(mode).text(path)
 
 
 def export_projection(df: DataFrame, sources: list[str], generated: list[str], keep_sources: bool = True) -> DataFrame:

@@ -108,7 +108,7 @@ def test_label_tasks(reviews, tmp_path):
     assert calls(tmp_path).count("Say a") == 1
 
 
-def test_retention(spark, monkeypatch):
+def test_retention(spark):
     cache = spark.range(100).select(
         F.concat(F.lit("k"), (F.col("id") % 50).cast("string")).alias("cache_key"),
         F.col("id").cast("string").alias("value"),
@@ -117,7 +117,79 @@ def test_retention(spark, monkeypatch):
     few = [r.value for r in K.retain(cache, NOW, 30, 10).orderBy(F.desc("written_at")).collect()]
     assert few == [str(i) for i in range(10)]
     assert K.retain(cache, NOW, 30, 1000).count() == 30
-    monkeypatch.setattr(K, "_TOP_ROWS", 5)
-    assert [r.value for r in K.retain(cache, NOW, 30, 10).orderBy(F.desc("written_at")).collect()] == few
+    assert K.retain(cache, NOW, 3000).count() == 50
     row = K.cache_report(cache, NOW, 30).first()
     assert (row.n_items, row.n_valid, row.n_expired) == (100, 30, 70)
+
+
+def test_path_alone_is_a_read_through_cache(reviews, tmp_path, spark):
+    path, asked_in = str(tmp_path / "cache"), tmp_path / "calls"
+    asked_in.mkdir()
+    run = lambda: E.enrich_columns(reviews, ["Content"], recorder(asked_in), engine="e", cache_path=path, now=NOW, options=NO_WAIT)
+    first = {r.ID: r.Content_zh for r in run().rows.collect()}
+    asked = len(calls(asked_in))
+    again = run()
+    assert {r.ID: r.Content_zh for r in again.rows.collect()} == first
+    assert len(calls(asked_in)) == asked and {r.status for r in again.log.collect()} <= {"cached", "blank"}
+    stored = [r.cache_key for r in K.read_cache(spark, path).collect()]
+    assert len(stored) == len(set(stored)) > 0
+    K.compact_cache(spark, path, NOW)
+    assert K.read_cache(spark, path).count() == len(stored)
+    K.clear_cache(spark, path)
+    assert K.read_cache(spark, path).count() == 0
+    assert K.read_cache(spark, str(tmp_path / "nowhere")).count() == 0
+
+
+def test_compaction_drops_old_and_repeated_entries(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    for day, value in ((40, "old"), (2, "second"), (1, "new")):
+        K.append_results(spark.createDataFrame([("k", value, "done"), (f"k{day}", value, "done")], "cache_key string, value string, status string"), path, NOW - timedelta(days=day))
+    K.compact_cache(spark, path, NOW, 30)
+    assert sorted((r.cache_key, r.value) for r in K.read_cache(spark, path).collect()) == [("k", "new"), ("k1", "new"), ("k2", "second")]
+
+
+def test_missing_answers_are_failures(reviews):
+    made = E.enrich_columns(reviews, ["Content"], lambda texts: [None if "same" in t else t for t in texts], engine="e", options=NO_WAIT)
+    log = {r.ID: r.status for r in made.log.collect()}
+    rows = {r.ID: r for r in made.rows.collect()}
+    failed = {i for i, s in log.items() if s == "failed"}
+    assert failed == {i for i, r in rows.items() if r.Content and "same" in r.Content} and failed
+    assert all(rows[i].Content_zh.startswith("[error: ") for i in failed)
+
+
+def test_a_made_column_is_replaced(reviews):
+    fn = lambda texts: [t + "!" for t in texts]
+    once = E.enrich_columns(reviews, ["Content"], fn, engine="e", options=NO_WAIT).rows
+    twice = E.enrich_columns(once, ["Content"], fn, engine="e", options=NO_WAIT).rows
+    assert twice.columns == once.columns
+    assert sorted(map(tuple, twice.collect()), key=str) == sorted(map(tuple, once.collect()), key=str)
+
+
+def test_many_tasks_call(spark):
+    from pyspark import TaskContext
+
+    rows = spark.range(2000).select(F.col("id").alias("ID"), F.concat(F.lit("text "), F.col("id")).alias("Content"))
+    made = E.enrich_columns(rows, ["Content"], lambda texts: [str(TaskContext.get().partitionId())] * len(texts), engine="e", options=NO_WAIT)
+    assert made.rows.select("Content_zh").distinct().count() == spark.sparkContext.defaultParallelism
+
+
+def test_workers_need_no_package(tmp_path):
+    """Started in another folder, with the package on the driver's path alone."""
+    import os
+    import subprocess
+    import sys
+
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    script = tmp_path / "job.py"
+    script.write_text(
+        f"import sys; sys.path.insert(0, {repo!r})\n"
+        "from pyspark.sql import SparkSession\n"
+        "from shelfvoice.operators import enrich as E\n"
+        "spark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        "rows = spark.createDataFrame([(1, 'a')], 'ID long, Content string')\n"
+        "made = E.enrich_columns(rows, ['Content'], lambda ts: [t + '!' for t in ts], engine='e')\n"
+        "print('GOT', made.rows.first().Content_zh)\n"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=240)
+    assert "GOT a!" in out.stdout, out.stderr[-2000:]

@@ -28,15 +28,31 @@ def test_files_to_files(spark, tmp_path, toy_reviews):
 
 def test_lexicon_file_round_trip(spark, tmp_path):
     path = str(tmp_path / "lexicon")
-    table = lexicon.normalise_lexicon(lexicon.lexicon_from_spec(spark, {"m": {"s": "b, a", "t": "c"}}))
+    table = lexicon.normalise_lexicon(lexicon.lexicon_from_spec(spark, {"m": {"s": "b, a", "t": "c"}, "n": {"s": "d"}}))
     writers.write_lexicon_json(table, path)
-    back = lexicon.normalise_lexicon(spark.read.json(path))
+    back = lexicon.normalise_lexicon(readers.read_lexicon_json(spark, path))
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, table.collect()))
 
 
+def test_word_list_round_trip(spark, tmp_path):
+    path = str(tmp_path / "words")
+    table = spark.createDataFrame([("a",), ("b \"q\"",), ("c\nd",)], "word string")
+    writers.write_words_json(table, path)
+    assert sorted(r.word for r in readers.read_words_json(spark, path).collect()) == sorted(r.word for r in table.collect())
+
+
 def test_flat_lexicon_is_upgraded(spark, tmp_path):
     old = tmp_path / "old.json"
     old.write_text('{"kids": "boy,girl", "odd": "x"}')
     preset = spark.createDataFrame([("kids", "people")], "sub string, main string")
     placed = lexicon.upgrade_flat(readers.read_lexicon_json(spark, str(old)), preset, "other")
     assert sorted(map(tuple, placed.collect())) == [("other", "odd", "x"), ("people", "kids", "boy,girl")]
+
+
+def test_staged_tables_are_removed(spark):
+    from shelfvoice.sources import workspace
+
+    workspace.cleanup(spark)
+    staged = workspace.stage(spark.range(10), "some")
+    assert staged.count() == 10
+    assert workspace.cleanup(spark) == 1 and workspace.cleanup(spark) == 0

@@ -1,4 +1,4 @@
-"""Tagging against brute force, in both matching forms."""
+"""Tagging against brute force."""
 
 import pytest
 
@@ -23,10 +23,7 @@ def brute(reviews, lexicon):
     )
 
 
-@pytest.mark.parametrize("limit", [200, 0])
-def test_matching(processed, lexicon, monkeypatch, limit):
-    monkeypatch.setattr(L, "EXPRESSION_KEYWORDS", limit)
-    monkeypatch.setattr(L, "AUTOMATON_KEYWORDS", 2)
+def test_matching(processed, lexicon):
     want = brute(processed, lexicon)
     assert hits(L.lexicon_join(processed, lexicon)) == want
     assert (1, "eat", "eat") in want and (2, "taste", "100%") in want
@@ -70,3 +67,33 @@ def test_ranking_orders(processed, lexicon):
     assert [r["sub"] for r in L.category_ranking(stats, "matched", False).collect()] == ["none", "eat", "case", "taste"]
     assert [r["sub"] for r in L.category_ranking(stats, "name").collect()] == ["none", "case", "taste", "eat"]
     assert [r["sub"] for r in L.top_categories(stats, 2).collect()] == ["taste", "case"]
+
+
+def test_clashing_names_stay_apart(processed):
+    names = [("m", "a b"), ("m", "a.b"), ("m", "A`b"), ("a__b", "c"), ("a", "b__c"), ("Pain", "x"), ("pain", "x")]
+    words = ["taste", "bitter", "easy", "great", "zzqx", "not", "swallow"]
+    lexicon = L.Lexicon(tuple((m, s, k) for (m, s), k in zip(names, words)))
+    columns = L.flag_names(lexicon.categories)
+    assert len({c.lower() for c in columns.values()}) == len(names)
+    want = {n: {r.ID for r in processed.collect() if r.Content and k in r.Content.lower()} for n, k in zip(names, words)}
+    flagged = L.category_flags(processed, lexicon)
+    assert {n: {r.ID for r in flagged.collect() if r[columns[n]]} for n in names} == want
+    assert {(r.main, r["sub"]): r.matched for r in L.category_stats(processed, lexicon).collect()} == {n: len(w) for n, w in want.items()}
+    for name in names:
+        assert {r.ID for r in L.flag_filter(flagged, *name, lexicon).collect()} == want[name]
+    with pytest.raises(ValueError, match="names of flags"):
+        L.add_flags(flagged, lexicon)
+
+
+@pytest.mark.parametrize("more", [0, 60])
+def test_blank_keywords_match_nothing_at_any_size(processed, more):
+    keywords = ["taste", "", " "] + [f"none{k}" for k in range(more)]
+    got = {r.ID: r.Matches for r in L.match_array(processed, keywords).collect()}
+    assert got == {1: ["taste"], 2: [], 3: [], 4: ["taste"], 5: ["taste"]}
+
+
+def test_a_lexicon_beyond_the_bound_is_refused(spark, monkeypatch):
+    monkeypatch.setattr(L, "MAX_KEYWORDS", 2)
+    table = spark.createDataFrame([("m", "a", str(k)) for k in range(3)], "main string, sub string, keyword string")
+    with pytest.raises(ValueError, match="lexicon of more"):
+        L.Lexicon.of(table)

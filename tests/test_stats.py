@@ -42,7 +42,7 @@ def test_crosstab(processed):
     got = [(r.grp, r.Rating, r.pct) for r in S.rating_crosstab(processed, "Asin").orderBy("grp", "Rating").collect()]
     assert got == [("C9", 2.0, 50.0), ("C9", 4.0, 50.0), ("P1", 5.0, 100.0), ("ZZ", 3.0, 100.0)]
     wide = {r.grp: list(r)[1:] for r in S.rating_crosstab_wide(processed, "Asin").collect()}
-    assert wide["C9"] == [0.0, 50.0, 0.0, 50.0, 0.0]
+    assert wide["C9"] == [0.0, 50.0, 0.0, 50.0, 0.0, 0.0]
 
 
 def test_ratings_outside_the_scale(processed):
@@ -76,11 +76,21 @@ def test_filters(processed):
     assert ids(Q.row_range(processed, 1, 3, dense=True)) == [2, 3]
 
 
-def test_long_row_range_equals_short(spark, monkeypatch):
-    df = spark.range(0, 1000, 3).withColumnRenamed("id", "ID")
-    short = ids(Q.row_range(df, 50, 200))
-    monkeypatch.setattr(Q, "_TOP_ROWS", 10)
-    assert ids(Q.row_range(df, 50, 200)) == short and len(short) == 150
+def test_row_ranges_cut_ties_the_same_way(spark):
+    df = spark.range(0, 1000).select((F.col("id") % 7).alias("ID"), F.col("id").alias("other"))
+    parts = [{r.other for r in Q.row_range(df, a, a + 200).collect()} for a in range(0, 1000, 200)]
+    assert [len(p) for p in parts] == [200] * 5 and len(set().union(*parts)) == 1000
+    assert {r.other for r in Q.row_range(df, 0, 600).collect()} == parts[0] | parts[1] | parts[2]
+    assert Q.row_range(df.union(df), 100, 300).count() == 200
+
+
+def test_wide_crosstab_loses_no_rating(spark):
+    df = spark.createDataFrame([("a", 4.5), ("a", 5.0), ("a", 7.0), ("a", None), ("b", 4.5)], "Asin string, Rating double")
+    got = {r.grp: r.asDict() for r in S.rating_crosstab_wide(df, "Asin").collect()}
+    assert abs(got["a"]["rating_5"] - 100 / 3) < 1e-9 and abs(got["a"]["rating_other"] - 200 / 3) < 1e-9
+    assert got["b"]["rating_other"] == 100.0
+    named = S.rating_crosstab_wide(df, "Asin", [4.5, 7]).filter("grp = 'b'").first()
+    assert (named.rating_4_5, named.rating_7, named.rating_other) == (100.0, 0.0, 0.0)
 
 
 def test_profile(processed):
