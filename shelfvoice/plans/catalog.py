@@ -65,7 +65,7 @@ def _lexicon(spark: SparkSession) -> L.Lexicon:
 
 
 def _counts(spark: SparkSession, sf: str) -> DataFrame:
-    return V.word_freq(T.text_reviews(spark, sf), T.stop_words(spark))
+    return V.word_freq(T.texts(spark, sf), T.stop_words(spark))
 
 
 def _matched(spark: SparkSession, sf: str) -> DataFrame:
@@ -233,7 +233,7 @@ def group_report(spark, sf):
 
 
 def tokenise(spark, sf):
-    return T.text_reviews(spark, sf).select("ID", F.array_join(X.tokenise(F.col("Content")), " ").alias("tokens"))
+    return T.texts(spark, sf).select("ID", F.array_join(X.tokenise(F.col("Content")), " ").alias("tokens"))
 
 
 def word_freq_negative(spark, sf):
@@ -422,6 +422,10 @@ def _with_lexicon(fn):
     return lambda spark, sf: fn(T.text_reviews(spark, sf), _lexicon(spark))
 
 
+def _texts_with_lexicon(fn):
+    return lambda spark, sf: fn(T.texts(spark, sf), _lexicon(spark))
+
+
 def queries():
     raw, line, text, branded = T.line_reviews_raw, T.line_reviews, T.text_reviews, T.branded_reviews
     col = F.col
@@ -477,7 +481,7 @@ def queries():
             line(spark, sf), T.brands_with_stale(spark, sf), ["ord"]
         ),
         "attach_labels": _with_lexicon(L.add_flags),
-        "lexicon_join": _with_lexicon(L.lexicon_join),
+        "lexicon_join": _texts_with_lexicon(L.lexicon_join),
         "dense_types": _over(line, lambda d: S.dense_types(d.withColumn(REVIEW_TYPE, F.when(F.col(REVIEW_TYPE) != "neutral", F.col(REVIEW_TYPE))))),
         "cache_split": cache_split,
         # statistics
@@ -519,10 +523,10 @@ def queries():
         "lexicon_upgrade": lexicon_upgrade,
         "match_array": match_array,
         "category_flags": _with_lexicon(L.category_flags),
-        "category_stats": _with_lexicon(L.category_stats),
-        "keyword_frequency": _with_lexicon(L.keyword_frequency),
-        "category_stats_many": _over(text, lambda d: L.category_stats(d, L.Lexicon(tuple(T.SYLLABLES)))),
-        "keyword_frequency_many": _over(text, lambda d: L.keyword_frequency(d, L.Lexicon(tuple(T.SYLLABLES)))),
+        "category_stats": _texts_with_lexicon(L.category_stats),
+        "keyword_frequency": _texts_with_lexicon(L.keyword_frequency),
+        "category_stats_many": _over(T.texts, lambda d: L.category_stats(d, L.Lexicon(tuple(T.SYLLABLES)))),
+        "keyword_frequency_many": _over(T.texts, lambda d: L.keyword_frequency(d, L.Lexicon(tuple(T.SYLLABLES)))),
         "match_summary": lambda spark, sf: L.match_summary(_matched(spark, sf)),
         "match_by_rating": lambda spark, sf: L.match_by_rating(_matched(spark, sf)),
         "match_keyword_counts": lambda spark, sf: L.match_keyword_counts(_matched(spark, sf)),

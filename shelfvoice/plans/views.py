@@ -108,6 +108,11 @@ def branded_reviews(spark: SparkSession, sf: str) -> DataFrame:
     return join_brands(reviews, brands(spark, sf), ["ord"], F.struct(*LINE_ORDER))
 
 
+def texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as bare review texts, for what needs neither rating nor date."""
+    return spread_small(table(spark, sf, "documents").select(F.col("doc_id").alias("ID"), F.col("text").alias("Content")))
+
+
 def text_reviews(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as reviews; many have no rating, some no date."""
     docs, labels = spread_small(table(spark, sf, "documents")), table(spark, sf, "labels")
