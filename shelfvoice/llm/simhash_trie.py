@@ -16,7 +16,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfvoice.llm.common import col, ship, stage
@@ -200,11 +200,13 @@ def links(prints: DataFrame, radius: int = 2, exact: int = 1, trie_rows: int = T
     pairs of a hot block are shared by many tasks.
     """
     masks = _masks(radius, exact)
-    tries = prints.select(
-        "fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("long")) for m in masks))).alias("choice", "value")
-    ).withColumn("trie", _hash("choice", "value"))
-    sized = tries.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("trie")))
-    light = sized.filter(F.col("n") <= trie_rows).select("trie", "fp", F.lit(False).alias("guest"))
+    values = F.array(*(F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("long")) for m in masks))
+    tries = prints.select("fp", F.posexplode(values).alias("choice", "value")).select("fp", F.col("choice").cast("byte").alias("choice"), _hash("choice", "value").alias("trie"))
+    # Large tries are named first, on their keys alone: a table of at most (rows / trie_rows) keys.
+    large = stage(tries.groupBy("trie").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > trie_rows).select("trie"), "large-tries")
+    if large.isEmpty():
+        return _walked(tries.select("trie", "fp", F.lit(False).alias("guest")), radius)
+    light = tries.join(F.broadcast(large), "trie", "left_anti").select("trie", "fp", F.lit(False).alias("guest"))
     # Bits outside the choice's blocks, highest first: the next levels of that trie.
     below = [[b for b in range(63, -1, -1) if not m >> b & 1][:cut_bits] for m in masks]
     child = F.lit(0)
@@ -212,7 +214,7 @@ def links(prints: DataFrame, radius: int = 2, exact: int = 1, trie_rows: int = T
         shift = F.element_at(F.array(*(F.lit(b[k] if k < len(b) else 0) for b in below)), F.col("choice") + 1)
         child = child * 2 + F.call_function("shiftrightunsigned", F.col("fp"), shift).bitwiseAND(F.lit(1).cast("long"))
     flips = [sum(1 << b for b in chosen) for k in range(1, radius + 1) for chosen in itertools.combinations(range(cut_bits), k)]
-    cut = sized.filter(F.col("n") > trie_rows).withColumn("own", child.cast("int"))
+    cut = tries.join(F.broadcast(large), "trie", "left_semi").withColumn("own", child.cast("int"))
     homes = cut.select(F.col("trie").alias("top"), "own", "fp", F.lit(False).alias("guest"))
     visits = (
         cut.select(F.col("trie").alias("top"), F.col("own").alias("from"), "fp", F.explode(F.array(*map(F.lit, flips))).alias("flip"))
@@ -220,14 +222,15 @@ def links(prints: DataFrame, radius: int = 2, exact: int = 1, trie_rows: int = T
         .filter(F.col("own") > F.col("from"))
         .select("top", "own", "fp", F.lit(True).alias("guest"))
     )
-    heavy = homes.unionByName(visits).select(F.xxhash64("top", "own").alias("trie"), "fp", "guest").repartition("trie")
-    edges = None
-    for rows in (light, heavy):
-        # fp as a signed long sorts its negative half first; the top bit is flipped so that bits decide.
-        ordered = rows.withColumn("fp", _flip("fp")).sortWithinPartitions("trie", "fp")
-        found = ordered.select("trie", _flip("fp").alias("fp"), "guest").mapInArrow(_joined(radius), "u long, v long")
-        edges = found if edges is None else edges.unionByName(found)
-    return edges
+    heavy = homes.unionByName(visits).select(F.xxhash64("top", "own").alias("trie"), "fp", "guest")
+    return _walked(light.unionByName(heavy), radius)
+
+
+def _walked(rows: DataFrame, radius: int) -> DataFrame:
+    """Deal rows ``trie, fp, guest`` by trie, sort them by bits and walk each trie."""
+    # As signed longs the negative half would sort first; with the top bit flipped the bits decide.
+    ordered = rows.withColumn("fp", _flip("fp")).repartition("trie").sortWithinPartitions("trie", "fp")
+    return ordered.select("trie", _flip("fp").alias("fp"), "guest").mapInArrow(_joined(radius), "u long, v long")
 
 
 def _flip(name: str):
@@ -255,7 +258,7 @@ def near_groups(
     return prints.join(of_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 6, exact: int = 3) -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 6, exact: int = 2) -> DataFrame:
     """The rows of ``docs``, one of each near-duplicate group, with all their columns: that of the least id, null ids last.
 
     Rows are numbered and staged first, so that repeated and null ids are rows

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import sys
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -11,8 +13,15 @@ from shelfvoice.llm.presplit import grouped, pieces
 from shelfvoice.llm.token_counts import split_special
 
 #: Pieces a worker remembers; beyond it forgets and goes on.
-MAX_PIECES = 300_000
-_ID = np.dtype("<u4")
+MAX_PIECES = 600_000
+
+
+def pack_ids(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit."""
+    packed = array("I", ids)
+    if packed.itemsize != 4 or sys.byteorder != "little":
+        return np.array(ids, dtype="<u4").tobytes()
+    return packed.tobytes()
 
 
 class Encoder(dict):
@@ -24,7 +33,7 @@ class Encoder(dict):
 
         super().__init__()
         self.library = Tokenizer.from_file(path)
-        self.special = {t.content: np.array([i], dtype=_ID).tobytes() for i, t in self.library.get_added_tokens_decoder().items()}
+        self.special = {t.content: pack_ids([i]) for i, t in self.library.get_added_tokens_decoder().items()}
 
     def learn(self, found: set[str]) -> None:
         new = [p for p in found if p not in self]
@@ -32,7 +41,7 @@ class Encoder(dict):
             self.clear()
             new = list(found)
         for piece, made in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
-            self[piece] = np.array(made.ids, dtype=_ID).tobytes()
+            self[piece] = pack_ids(made.ids)
 
 
 @lru_cache(2)

@@ -209,11 +209,12 @@ def gradients(m: dict, words: list[str], ids: np.ndarray, labels: np.ndarray, we
     return g, loss
 
 
-def window_ids(lists: list[list[str]]) -> tuple[list[str], np.ndarray]:
+def window_ids(windows: list[str]) -> tuple[list[str], np.ndarray]:
     """Distinct words and the windows' word numbers."""
     number = Words()
-    ids = np.full((len(lists), WINDOW), -1, dtype=np.int64)
-    for k, own in enumerate(lists):
+    ids = np.full((len(windows), WINDOW), -1, dtype=np.int32)
+    for k, window in enumerate(windows):
+        own = window.split()
         ids[k, : len(own)] = [number[w] for w in own]
     return list(number), ids
 
@@ -237,7 +238,7 @@ def calibrated(worst: np.ndarray, label: np.ndarray) -> np.ndarray:
     return at
 
 
-def train(windows: list[list[str]], doc: np.ndarray, label: np.ndarray, seed: int = 7, rounds: int = 6, rate: float = 0.01) -> dict[str, np.ndarray] | None:
+def train(windows: list[str], doc: np.ndarray, label: np.ndarray, seed: int = 7, rounds: int = 6, rate: float = 0.01) -> dict[str, np.ndarray] | None:
     """Fit on windows; ``doc`` numbers their documents, ``label`` is by document. One class only: None."""
     if len(set(label.tolist())) < 2:
         return None
@@ -324,7 +325,7 @@ def remainder(id_col: str):
 
 
 def sample_windows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", toxic: int = SAMPLE_TOXIC, clean: int = SAMPLE_CLEAN, windows: int = SAMPLE_WINDOWS):
-    """Windows of a bounded sample of labelled documents on the driver: lists of words, document numbers, labels.
+    """Windows of a bounded sample of labelled documents on the driver: their words, document numbers, labels.
 
     Documents are taken by a hash of the id, so the choice depends neither on
     order nor on partitions. Those held out (remainder 1) are never taken.
@@ -353,7 +354,7 @@ def sample_windows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     label = np.zeros(len(ids), dtype=np.int64)
     for d, y, _ in rows:
         label[number[d]] = y
-    return [r[2].split() for r in rows], np.array([number[r[0]] for r in rows], dtype=np.int64), label
+    return [r[2] for r in rows], np.array([number[r[0]] for r in rows], dtype=np.int64), label
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 7) -> dict[str, np.ndarray] | None:
