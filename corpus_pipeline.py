@@ -14,7 +14,7 @@ from shelfvoice.llm.common import stage, table, tokenizer_path
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Differing bits of two fingerprints up to which documents are near copies of each other, and equal blocks to find them by.
-NEAR_BITS, EXACT_BLOCKS = 6, 3
+NEAR_BITS, EXACT_BLOCKS = 6, 2
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
