@@ -13,8 +13,8 @@ from shelfvoice.llm import best_fit, decontaminate, secret_scan, simhash_trie, t
 from shelfvoice.llm.common import stage, table, tokenizer_path
 
 TOKENIZER = "byte_bpe_50k.json"
-#: Differing bits of two fingerprints up to which documents are near copies of each other, and equal blocks to find them by.
-NEAR_BITS, EXACT_BLOCKS = 6, 2
+#: Differing bits of two fingerprints up to which documents may be near copies, and equal blocks to find them by; shingles decide.
+NEAR_BITS, EXACT_BLOCKS = 12, 2
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
