@@ -1,7 +1,9 @@
 """Personal data: format-preserving pseudonyms by keyed Feistel networks.
 
-Patterns find candidates, checks keep the valid ones (Luhn for cards, mod 97 for
-account numbers, ranges for addresses, calendars for dates), and a Feistel
+Patterns find stretches of text that may hold personal data. In a stretch every
+place is tried with every format, the longest first; checks keep the valid ones
+(Luhn for cards, mod 97 for account numbers, ranges for addresses, calendars for
+dates), so a value that a longer one swallowed is tried on its own. A Feistel
 network permutes each value within its own format under a key: the same value
 gets the same pseudonym in every document, different values get different ones,
 and a valid number stays valid. All of it is column expressions in one pass.
@@ -17,7 +19,7 @@ from shelfvoice.llm.common import col, located
 ROUNDS = 8
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _YEAR = r"(?:1[89]|2[01])\d\d"
-#: Patterns by kind; the first that fits at a place counts.
+#: Patterns by kind, which say where a stretch begins.
 KINDS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,62})\.)+[A-Za-z]{2,24}\b",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
@@ -28,7 +30,39 @@ KINDS = {
     "card": r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-]?\d)",
     "phone": r"(?<![\w+])\+\d{1,3}(?:[ .-]?\(?\d{1,4}\)?){2,5}\b|(?<![\w-])\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}\b",
 }
-PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
+#: Groups of card numbers, the longest first.
+_CARDS = (r"\d{4}(?<by>[ -]?)\d{4}(?:\k<by>\d{4}){2}\k<by>\d{3}(?!-\d)", r"\d{13,19}", r"\d{4}(?:[ -]?\d{4}){3}", r"\d{4}[ -]?\d{6}[ -]?\d{5}", r"\d{4}[ -]?\d{6}[ -]?\d{4}", r"\d{6}[ -]\d{13}")
+#: A stretch goes on over digits, capitals and separators, and ends beside no word that it holds a part of.
+PATTERN = "(?:" + "|".join(f"(?:{p})" for p in (*KINDS.values(), rf"(?<!\d)(?:{'|'.join(_CARDS)})(?!\d)")) + r")(?:[A-Z0-9 .+()/-]*(?:(?<=[ /])|(?![\w.%+@-])))?"
+#: Characters of an account number by country.
+_IBAN_SIZES = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD FK", 19: "MK SI", 20: "AT BA EE KZ LT LU XK MN", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE IL IQ TL SO OM", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV NI",
+    29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban(countries: str, size: int) -> str:
+    rest = rf" ?[A-Z0-9]{{{size % 4}}}" if size % 4 else ""
+    return rf"\b(?:{countries})\d{{2}}(?: ?[A-Z0-9]{{4}}){{{size // 4 - 1}}}{rest}\b"
+
+
+_OTHERS = rf"(?!{'|'.join(' '.join(_IBAN_SIZES.values()).split())})[A-Z]{{2}}"
+#: What a phone number's next group must not begin.
+_NEXT = "|".join([KINDS["ipv4"].replace(r"(?<![\d.])", ""), *(KINDS[k].replace(r"\b", "") for k in ("date", "day_first", "ssn")), r"\d{4}(?:[ -]\d{4}){3}(?![ -]?\d)"])
+_GROUP = rf"(?:(?![ .-]?(?:{_NEXT}))[ .-]?\(?\d{{1,4}}\)?)"
+#: ``(kind, pattern)`` of each format; of those that fit at a place the first valid one counts.
+FORMATS = (
+    ("email", KINDS["email"]),
+    *(("iban", _iban("|".join(names.split()), size)) for size, names in _IBAN_SIZES.items()),
+    *(("iban", _iban(_OTHERS, size)) for size in range(34, 11, -1)),
+    *((kind, KINDS[kind]) for kind in ("ipv4", "date", "day_first", "ssn")),
+    *(("card", rf"(?<!\d){p}(?!\d)") for p in _CARDS),
+    ("card", KINDS["card"]),
+    ("phone", r"(?<![\w+])\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\w)"),
+    *(("phone", rf"(?<![\w+])\+\d{{1,3}}{_GROUP}{{{n}}}(?!\w)") for n in (5, 4, 3, 2)),
+    ("phone", KINDS["phone"].split("|")[-1]),
+)
 
 
 def _let(value: Column, then) -> Column:
@@ -158,25 +192,42 @@ def pseudonym(value: Column, kind: Column, key: str) -> Column:
     return out
 
 
-def _kind(hit: Column) -> Column:
-    out = F.lit(None).cast("string")
-    for name, pattern in reversed(KINDS.items()):
-        bare = pattern.replace(r"(?<![\d.])", "").replace(r"(?<![\d-])", "").replace(r"(?<![\w+])", "").replace(r"(?<![\w-])", "")
-        out = F.when(hit.rlike(f"^(?:{bare})$"), name).otherwise(out)
-    return out
+def _pieces(gap: Column, hit: Column, start: Column) -> Column:
+    """A stretch and the gap before it as ``(gap, value, start, kind)`` end to end; what is no valid value has no kind."""
 
+    def at_places(rank: int, kind: str, pattern: str) -> Column:
+        fits = F.regexp_extract_all(hit, F.lit(f"(?s)(?:(?=({pattern})))?."), F.lit(1))
+        placed = F.transform(fits, lambda v, i: F.struct(i.alias("at"), F.lit(rank).alias("rank"), v.alias("value"), F.lit(kind).alias("kind")))
+        none = F.filter(placed, lambda c: c["value"] != "")
+        return F.when(hit.rlike(pattern), none).otherwise(F.array().cast("array<struct<at:int,rank:int,value:string,kind:string>>"))
 
-def found(text: Column, key: str) -> Column:
-    """Array of ``(gap, value, start, kind, pseudonym)``; what fails its check has no pseudonym."""
+    tried = F.array_sort(F.flatten(F.array(*(at_places(k, *f) for k, f in enumerate(FORMATS)))))
+    fit = F.filter(tried, lambda c: valid(c["value"], c["kind"]))
+    kinds = "array<struct<gap:string,value:string,start:bigint,kind:string>>"
+    none = F.struct(F.array().cast(kinds).alias("made"), F.lit(0).alias("end"))
+
+    def taken(s: Column, c: Column) -> Column:
+        before = F.substr(hit, s["end"] + 1, c["at"] - s["end"])
+        lead = F.when(s["end"] == 0, F.concat(gap, before)).otherwise(before)
+        made = F.struct(lead.alias("gap"), c["value"].alias("value"), (start + c["at"]).cast("long").alias("start"), c["kind"].alias("kind"))
+        longer = F.struct(F.concat(s["made"], F.array(made)).alias("made"), (c["at"] + F.length(c["value"])).cast("int").alias("end"))
+        return F.when(c["at"] >= s["end"], longer).otherwise(s)
 
-    def named(r: Column) -> Column:
-        return F.struct(r["gap"].alias("gap"), r["hit"].alias("value"), r["start"].alias("start"), _kind(r["hit"]).alias("kind"))
+    def ended(s: Column) -> Column:
+        rest = F.struct(F.when(s["end"] == 0, gap).otherwise(F.lit("")).alias("gap"), F.substr(hit, s["end"] + 1).alias("value"), (start + s["end"]).cast("long").alias("start"), F.lit(None).cast("string").alias("kind"))
+        return F.when(s["end"] < F.length(hit), F.concat(s["made"], F.array(rest))).otherwise(s["made"])
+
+    return _let(F.aggregate(fit, none, taken), ended)
+
+
+def found(text: Column, key: str) -> Column:
+    """Array of ``(gap, value, start, kind, pseudonym)`` end to end; what is no valid value has no pseudonym."""
 
     def made(r: Column) -> Column:
-        image = F.when(valid(r["value"], r["kind"]), pseudonym(r["value"], r["kind"], key))
-        return F.struct(r["gap"].alias("gap"), r["value"].alias("value"), r["start"].alias("start"), r["kind"].alias("kind"), image.alias("pseudonym"))
+        image = F.when(r["kind"].isNotNull(), pseudonym(r["value"], r["kind"], key))
+        return F.struct(*(r[k].alias(k) for k in ("gap", "value", "start", "kind")), image.alias("pseudonym"))
 
-    return F.transform(F.transform(located(text, PATTERN), named), made)
+    return F.transform(F.flatten(F.transform(located(text, PATTERN), lambda r: _pieces(r["gap"], r["hit"], r["start"]))), made)
 
 
 def scan(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -93,6 +93,41 @@ def test_pseudonyms_keep_format_and_links(spark):
     assert text[2] == PRIVATE[1][1] and "4111 1111 1111 1111" not in text[1] and found[1, "card"][1] in text[1]
 
 
+CARD, PHONE, ADDRESS = "4111 1111 1111 1111", "+1 (826) 555-4081", "190.137.223.204"
+BESIDE = [
+    ("call +1 (826) 555-4081 190.137.223.204 now", [PHONE, ADDRESS]),
+    ("+1 (843) 555-7672 2024-01-02 x", ["+1 (843) 555-7672", "2024-01-02"]),
+    ("+44 20 7946 0958 190.137.223.204", ["+44 20 7946 0958", ADDRESS]),
+    ("+44 20 7946 0958 4111 1111 1111 1111", ["+44 20 7946 0958", CARD]),
+    ("+49 30 1234 5678 12345", ["+49 30 1234 5678"]),
+    ("é😀 4111 1111 1111 1111 123 ok", [CARD]),
+    ("4111 1111 1111 1111 12/27", [CARD]),
+    ("12 4111 1111 1111 1111", [CARD]),
+    ("REF-4111-1111-1111-1111 ABC", ["4111-1111-1111-1111"]),
+    ("3782 822463 10005 1234", ["3782 822463 10005"]),
+    ("ES91 2100 0418 4502 0005 1332 BIC ABCDESMM", ["ES91 2100 0418 4502 0005 1332"]),
+    ("AT61 1904 3002 3457 3201 2024-01-02", ["AT61 1904 3002 3457 3201", "2024-01-02"]),
+    ("DE89370400440532013000 4111111111111111 078-05-1120", ["DE89370400440532013000", "4111111111111111", "078-05-1120"]),
+    ("078-05-1120 4111 1111 1111 1111 anna.b@mail.example.org", ["078-05-1120", CARD, "anna.b@mail.example.org"]),
+    ("4111 1111 1111 1111 ANNA@MAIL.ORG 190.137.223.204 31.12.2020 5", [CARD, "ANNA@MAIL.ORG", ADDRESS, "31.12.2020"]),
+    ("4111 1111 1111 1112 and 41111111111111111x", []),
+    ("GB82 WEST 1234 5698 7654 32 THE END", ["GB82 WEST 1234 5698 7654 32"]),
+]
+
+
+def test_values_beside_each_other(spark):
+    docs = table(spark, [(k, t, "en", "s", 0) for k, (t, _) in enumerate(BESIDE)])
+    got = {}
+    for r in sorted(pii.scan(docs, "key").collect(), key=lambda r: (r.doc_id, r.start)):
+        got.setdefault(r.doc_id, []).append((BESIDE[r.doc_id][0][r.start : r.start + r.length], r.pseudonym))
+    assert {k: [v for v, _ in got.get(k, [])] for k in range(len(BESIDE))} == {k: w for k, (_, w) in enumerate(BESIDE)}
+    written = {r.doc_id: r.text for r in pii.pseudonymize(docs, "key").collect()}
+    for k, (text, _) in enumerate(BESIDE):
+        for value, image in got.get(k, []):
+            text = text.replace(value, image)
+        assert written[k] == text
+
+
 def test_permutations_are_one_to_one(spark):
     from pyspark.sql import functions as F
 
