@@ -7,10 +7,6 @@ The rows of one choice and value form the top of a trie in which no bit may
 differ; below, node pairs are walked together, differing bits are added up, and
 a pair of nodes is left as soon as the sum exceeds the radius. Of the pairs
 found only a spanning forest leaves the task, never all pairs of a group.
-
-Where the texts themselves have to be alike (``alike_groups``), pairs within the
-radius are candidates only. The forest's pairs are verified first; then all
-pairs that this has not connected leave the tasks and are verified too.
 """
 
 from __future__ import annotations
@@ -28,16 +24,11 @@ from shelfvoice.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({c: c + 32 for c in range(ord("A"), ord("Z") + 1)})
-#: Words of a shingle and Jaccard similarity from which two texts are near copies, where texts are verified.
-ALIKE_SHINGLE, ALIKE = 5, 0.8
 #: Distinct fingerprints of one trie that a task takes whole; larger ones are cut into subtrees.
 TRIE_ROWS = 200_000
 _FRONTIER = 500_000
 _PAIRS = 2_000_000
 _LEAF = 32
-#: In place of a group, on fingerprints whose texts belong to several.
-MIXED = -1
-
 
 def text_fingerprint(text: str | None, shingle: int = 3) -> int:
     """Unsigned 64-bit SimHash of word shingles, repeats included; no words: 0."""
@@ -176,20 +167,6 @@ def _joined(radius: int):
     return _by_trie(links, 3)
 
 
-def _apart(radius: int):
-    """Task: rows sorted by trie and fingerprint in, all pairs out whose groups differ."""
-
-    def pairs(trie: np.ndarray, fps: np.ndarray, guest: np.ndarray, group: np.ndarray):
-        bounds = np.flatnonzero(np.concatenate(([True], trie[1:] != trie[:-1], [True])))
-        for i, j in trie_pairs(fps, bounds, radius):
-            keep = ~(guest[i] & guest[j]) & ((group[i] != group[j]) | (group[i] == MIXED))
-            if keep.any():
-                u, v = fps[i[keep]].view(np.int64), fps[j[keep]].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
-
-    return _by_trie(pairs, 4)
-
-
 def _by_trie(work, columns: int):
     """Task: whole tries of sorted rows, so many at once that they fill ``TRIE_ROWS``, through ``work``."""
 
@@ -230,25 +207,21 @@ def _hash(choice, value, *more):
     return F.xxhash64(choice, value, *more)
 
 
-def links(prints: DataFrame, radius: int = 2, exact: int = 1, trie_rows: int = TRIE_ROWS, cut_bits: int = 10, apart: bool = False) -> DataFrame:
+def links(prints: DataFrame, radius: int = 2, exact: int = 1, trie_rows: int = TRIE_ROWS, cut_bits: int = 10) -> DataFrame:
     """Edges ``(u, v)`` that connect every two distinct fingerprints ``fp`` within the radius.
 
-    ``apart`` gives all pairs within the radius, repeats included, except those
-    of one ``group``, a column of longs; MIXED is no group.
-
     A trie with more than ``trie_rows`` rows is cut at ``cut_bits`` further bits:
     each row lives in its own subtree and visits those within the radius, so the
     pairs of a hot block are shared by many tasks.
     """
     masks = _masks(radius, exact)
     values = F.array(*(F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("long")) for m in masks))
-    own = ["group"] if apart else []
-    tries = prints.select("fp", *own, F.posexplode(values).alias("choice", "value")).select("fp", *own, F.col("choice").cast("byte").alias("choice"), _hash("choice", "value").alias("trie"))
+    tries = prints.select("fp", F.posexplode(values).alias("choice", "value")).select("fp", F.col("choice").cast("byte").alias("choice"), _hash("choice", "value").alias("trie"))
     # Large tries are named first, on their keys alone: a table of at most (rows / trie_rows) keys.
     large = stage(tries.groupBy("trie").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > trie_rows).select("trie"), "large-tries")
     if large.isEmpty():
-        return _walked(tries.select("trie", "fp", F.lit(False).alias("guest"), *own), radius, own)
-    light = tries.join(F.broadcast(large), "trie", "left_anti").select("trie", "fp", F.lit(False).alias("guest"), *own)
+        return _walked(tries.select("trie", "fp", F.lit(False).alias("guest")), radius)
+    light = tries.join(F.broadcast(large), "trie", "left_anti").select("trie", "fp", F.lit(False).alias("guest"))
     # Bits outside the choice's blocks, highest first: the next levels of that trie.
     below = [[b for b in range(63, -1, -1) if not m >> b & 1][:cut_bits] for m in masks]
     child = F.lit(0)
@@ -257,22 +230,22 @@ def links(prints: DataFrame, radius: int = 2, exact: int = 1, trie_rows: int = T
         child = child * 2 + F.call_function("shiftrightunsigned", F.col("fp"), shift).bitwiseAND(F.lit(1).cast("long"))
     flips = [sum(1 << b for b in chosen) for k in range(1, radius + 1) for chosen in itertools.combinations(range(cut_bits), k)]
     cut = tries.join(F.broadcast(large), "trie", "left_semi").withColumn("own", child.cast("int"))
-    homes = cut.select(F.col("trie").alias("top"), "own", "fp", F.lit(False).alias("guest"), *own)
+    homes = cut.select(F.col("trie").alias("top"), "own", "fp", F.lit(False).alias("guest"))
     visits = (
-        cut.select(F.col("trie").alias("top"), F.col("own").alias("from"), "fp", *own, F.explode(F.array(*map(F.lit, flips))).alias("flip"))
+        cut.select(F.col("trie").alias("top"), F.col("own").alias("from"), "fp", F.explode(F.array(*map(F.lit, flips))).alias("flip"))
         .withColumn("own", F.col("from").bitwiseXOR(F.col("flip")))
         .filter(F.col("own") > F.col("from"))
-        .select("top", "own", "fp", F.lit(True).alias("guest"), *own)
+        .select("top", "own", "fp", F.lit(True).alias("guest"))
     )
-    heavy = homes.unionByName(visits).select(F.xxhash64("top", "own").alias("trie"), "fp", "guest", *own)
-    return _walked(light.unionByName(heavy), radius, own)
+    heavy = homes.unionByName(visits).select(F.xxhash64("top", "own").alias("trie"), "fp", "guest")
+    return _walked(light.unionByName(heavy), radius)
 
 
-def _walked(rows: DataFrame, radius: int, own: list[str]) -> DataFrame:
-    """Deal rows ``trie, fp, guest`` and perhaps ``group`` by trie, sort them by bits and walk each trie."""
+def _walked(rows: DataFrame, radius: int) -> DataFrame:
+    """Deal rows ``trie, fp, guest`` by trie, sort them by bits and walk each trie."""
     # As signed longs the negative half would sort first; with the top bit flipped the bits decide.
     ordered = rows.withColumn("fp", _flip("fp")).repartition("trie").sortWithinPartitions("trie", "fp")
-    return ordered.select("trie", _flip("fp").alias("fp"), "guest", *own).mapInArrow(_apart(radius) if own else _joined(radius), "u long, v long")
+    return ordered.select("trie", _flip("fp").alias("fp"), "guest").mapInArrow(_joined(radius), "u long, v long")
 
 
 def _flip(name: str):
@@ -300,108 +273,20 @@ def near_groups(
     return prints.join(of_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def distinct_texts(docs: DataFrame, id_col: str, text_col: str, shingle: int = 3) -> DataFrame:
-    """``(doc_id, fp, text_key)``, one row per row of ``docs``; equal word sequences have equal keys."""
-
-    def run(batches):
-        import xxhash
-
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            prints = np.array([text_fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64)
-            keys = [xxhash.xxh3_128_digest(" ".join(WORD.findall((t or "").translate(LOWER)))) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints), pa.array(keys, pa.binary())], ["doc_id", "fp", "text_key"])
-
-    ship(docs.sparkSession)
-    source = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, fp long, text_key binary")
-
-
-def shingle_set(text: str | None, size: int = ALIKE_SHINGLE) -> np.ndarray:
-    """Distinct hashes of the runs of ``size`` words, ascending; a shorter text is one run, no words are none."""
-    import xxhash
-
-    words = WORD.findall((text or "").translate(LOWER))
-    if not words:
-        return np.zeros(0, dtype=np.int64)
-    joined = map(" ".join, zip(*(words[k:] for k in range(size)))) if len(words) >= size else (" ".join(words),)
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, 7) for s in joined), dtype=np.uint64)).view(np.int64)
-
-
-def _sets(texts: DataFrame) -> DataFrame:
-    """``(vertex, grams)`` of ``(vertex, text)``."""
-
-    def run(batches):
-        for batch in batches:
-            grams = [shingle_set(t) for t in batch.column(1).to_pylist()]
-            ends = np.cumsum([0, *map(len, grams)])
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(grams) if grams else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["vertex", "grams"])
-
-    return texts.mapInArrow(run, "vertex long, grams array<long>")
-
-
-def verified(pairs: DataFrame, texts: DataFrame, least: float = ALIKE) -> DataFrame:
-    """The pairs ``(u, v)`` of vertices whose texts have a Jaccard similarity of ``least`` or more; ``texts`` is ``(vertex, text)``."""
-    pairs = stage(pairs.select("u", "v").distinct(), "candidates")
-    asked = pairs.select(F.col("u").alias("vertex")).unionByName(pairs.select(F.col("v").alias("vertex"))).distinct()
-    grams = stage(_sets(texts.join(asked, "vertex", "left_semi").select("vertex", "text")), "shingles")
-    sized = grams.select("vertex", F.size("grams").alias("n"))
-    # Sizes alone bound the similarity; what they rule out moves no shingles.
-    near = pairs.join(sized.select(F.col("vertex").alias("u"), F.col("n").alias("nu")), "u").join(sized.select(F.col("vertex").alias("v"), F.col("n").alias("nv")), "v")
-    near = near.filter(F.least("nu", "nv") / F.greatest("nu", "nv") >= least)
-    both = near.join(grams.select(F.col("vertex").alias("u"), F.col("grams").alias("gu")), "u").join(grams.select(F.col("vertex").alias("v"), F.col("grams").alias("gv")), "v")
-    common = both.select("u", "v", "nu", "nv", F.size(F.array_intersect("gu", "gv")).alias("common"))
-    return common.filter(F.col("common") / (F.col("nu") + F.col("nv") - F.col("common")) >= least).select("u", "v")
-
-
-def _named(texts: DataFrame, edges: DataFrame) -> DataFrame:
-    """``texts`` with the group that ``edges`` give each vertex."""
-    found = stage(components(edges), "components").select("vertex", F.col("root").alias("group"))
-    return texts.join(found, "vertex", "left").select("vertex", "fp", F.coalesce("group", "vertex").alias("group"))
-
-
-def alike_groups(docs: DataFrame, id_col: str, text_col: str = "text", shingle: int = 3, radius: int = 12, exact: int = 2, trie_rows: int = TRIE_ROWS) -> DataFrame:
-    """``(doc_id, component_id)`` for every row of ``docs``, whose ids differ and are not null.
-
-    Two rows link when their words are equal, or when their fingerprints differ
-    in at most ``radius`` bits and the Jaccard similarity of their five-word
-    shingles is 0.8 or more; component_id is the least id reachable.
-    """
-    prints = stage(distinct_texts(docs, id_col, text_col, shingle), "fingerprints")
-    vertices = stage(prints.groupBy("text_key").agg(F.min("doc_id").alias("vertex"), F.first("fp").alias("fp")), "distinct")
-    texts = docs.select(col(id_col).cast("long").alias("vertex"), col(text_col).cast("string").alias("text"))
-    # First the vertices of one fingerprint with the least of them, and the forest of the fingerprints.
-    firsts = stage(vertices.groupBy("fp").agg(F.min("vertex").alias("first")), "firsts")
-    same = vertices.join(firsts, "fp").filter("vertex <> first").select(F.col("first").alias("u"), F.col("vertex").alias("v"))
-    grown = links(firsts, radius, exact, trie_rows).distinct()
-    first = lambda name: firsts.select(F.col("fp").alias(name), F.col("first").alias(f"{name}1"))
-    grown = grown.join(first("u"), "u").join(first("v"), "v").select(F.least("u1", "v1").alias("u"), F.greatest("u1", "v1").alias("v"))
-    edges = stage(verified(same.unionByName(grown), texts), "edges")
-    named = stage(_named(vertices, edges), "named")
-    # Then all pairs within the radius that are not connected yet.
-    kinds = stage(named.groupBy("fp").agg(F.min("group").alias("least"), F.max("group").alias("most")), "kinds")
-    mixed = kinds.filter("least <> most").select(F.col("fp").alias("u"), F.col("fp").alias("v"))
-    groups = kinds.select("fp", F.when(F.col("least") == F.col("most"), F.col("least")).otherwise(F.lit(MIXED)).alias("group"))
-    apart = links(groups, radius, exact, trie_rows, apart=True).distinct().unionByName(mixed)
-    end = lambda fp, name: named.select(F.col("fp").alias(fp), F.col("vertex").alias(name), F.col("group").alias(f"{name}_group"))
-    pairs = apart.join(end("u", "a"), "u").join(end("v", "b"), "v").filter("a_group <> b_group AND (u <> v OR a < b)")
-    more = verified(pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")), texts)
-    found = stage(_named(vertices, edges.unionByName(more)), "groups")
-    return prints.join(vertices.select("text_key", "vertex"), "text_key").join(found.select("vertex", "group"), "vertex").select("doc_id", F.col("group").alias("component_id"))
-
-
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 12, exact: int = 2) -> DataFrame:
-    """The rows of ``docs``, one of each group of ``alike_groups``, with all their columns: that of the least id, null ids last.
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2, exact: int = 1) -> DataFrame:
+    """The rows of ``docs``, one of each group of ``near_groups``, with all their columns: that of the least id, null ids last.
 
     Rows are numbered and staged first, so that repeated and null ids are rows
-    of their own.
+    of their own; of several rows with the least id one stays. Null and empty
+    texts are one group, fingerprint zero. Texts are read whole, however long.
+    Columns whose names also occur in here are kept as they are. An empty table
+    gives an empty one.
     """
     number = "_row"
     while number in docs.columns:
         number += "_"
     rows = stage(docs.withColumn(number, F.monotonically_increasing_id()), "rows")
-    groups = alike_groups(rows, number, text_col, shingle, radius, exact).select(F.col("doc_id").alias(number), "component_id")
+    groups = near_groups(rows, number, text_col, shingle, radius, exact).select(F.col("doc_id").alias(number), "component_id")
     named = rows.select(number, col(id_col).alias("id")).join(groups, number)
     first = named.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("missing"), "id", number)).alias("first"))
     kept = stage(first.select(F.col(f"first.{number}").alias(number)), "kept")

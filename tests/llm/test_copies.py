@@ -92,38 +92,6 @@ def test_one_of_each_keeps_rows_and_columns(spark):
     assert simhash_trie.one_of_each(empty(spark)).collect() == []
 
 
-@pytest.mark.parametrize("rows", [200_000, 20])
-def test_one_of_each_verifies_shingles(spark, rows):
-    """Near copies beyond six bits go; texts within six bits that are less alike than 0.8 stay."""
-    rnd = random.Random(8)
-    words = [f"w{k}" for k in range(400)]
-    texts = []
-    for _ in range(60):
-        n = rnd.choice([30, 60, 200])
-        base = [rnd.choice(words) for _ in range(n)]
-        for _ in range(rnd.choice([1, 2, 5])):
-            own = list(base)
-            for _ in range(rnd.choice([0, 1, 2, n // 45, n // 30, n // 15])):
-                own[rnd.randrange(n)] = rnd.choice(words)
-            texts.append(" ".join(own))
-    texts += ["a b", "A  b", "b a", None, "", " \t"]
-    sets = [set(simhash_trie.shingle_set(t).tolist()) for t in texts]
-    fps = [simhash_trie.text_fingerprint(t) for t in texts]
-    pairs = [(a, b) for a in range(len(texts)) for b in range(a)]
-    alike = {(a, b): len(sets[a] & sets[b]) / max(1, len(sets[a] | sets[b])) if sets[a] or sets[b] else 1.0 for a, b in pairs}
-    bits = {(a, b): (fps[a] ^ fps[b]).bit_count() for a, b in pairs}
-    group = union(len(texts), [p for p in pairs if alike[p] >= 0.8 and bits[p] <= 12])
-    assert any(alike[p] >= 0.8 and 6 < bits[p] <= 12 for p in pairs) and any(alike[p] < 0.8 and bits[p] <= 6 for p in pairs)
-    least = {}
-    for k, g in enumerate(group):
-        least.setdefault(g, k)
-    docs = table(spark, [(k, t, "en", "s", 0) for k, t in enumerate(texts)])
-    got = {r.doc_id: r.component_id for r in simhash_trie.alike_groups(docs, "doc_id", trie_rows=rows).collect()}
-    assert got == {k: least[g] for k, g in enumerate(group)}
-    if rows > 20:
-        assert {r.doc_id for r in simhash_trie.one_of_each(docs).collect()} == set(least.values())
-
-
 def test_pairs_of_many_equal_prints(monkeypatch):
     monkeypatch.setattr(simhash_trie, "_PAIRS", 50)
     fps = np.array([5] * 30 + [7] * 20 + [2**60] * 3, dtype=np.uint64)

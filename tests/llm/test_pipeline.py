@@ -1,6 +1,7 @@
 import corpus_pipeline
 from shelfvoice.llm import decontaminate, secret_scan, simhash_trie, toxicity
 from shelfvoice.llm.common import table
+from tests.llm import helpers
 
 SF = "/root/testdata/sf0.001"
 
@@ -20,11 +21,11 @@ def test_stages_by_brute_force(spark):
             scores = toxicity.score_texts(model, [before[k].text for k in ids])
             assert {r.doc_id for r in rows} == {k for k, s in zip(ids, scores) if s < toxicity.THRESHOLD}
         elif name == "simhash_near_dedup":
-            prints = {k: simhash_trie.text_fingerprint(r.text) for k, r in before.items()}
+            prints = {k: simhash_trie.text_fingerprint(r.text, 3) for k, r in before.items()}
             group = {k: {k} for k in prints}
             for a in prints:
                 for b in prints:
-                    if (prints[a] ^ prints[b]).bit_count() <= corpus_pipeline.NEAR_BITS and group[a] is not group[b]:
+                    if (prints[a] ^ prints[b]).bit_count() <= 2 and group[a] is not group[b]:
                         group[a] |= group[b]
                         for k in group[b]:
                             group[k] = group[a]
@@ -48,3 +49,16 @@ def test_stages_by_brute_force(spark):
         else:
             assert {r.doc_id for r in rows} == set(before)
         docs = after
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls, empty and long texts, repeated rows, clashing names; then no rows at all."""
+    odd = helpers.table(spark)
+    for docs, ids in ((odd, [r[0] for r in helpers.ROWS]), (helpers.empty(spark), [])):
+        by_name = {name: apply(spark, docs, SF) for name, apply in corpus_pipeline.STAGES}
+        for name in ("toxicity", "simhash_near_dedup", "benchmark_decontamination", "secret_scans"):
+            assert by_name[name].columns == docs.columns, name
+        found = {name: sorted((r.doc_id for r in df.collect()), key=str) for name, df in by_name.items()}
+        assert found["simhash_near_dedup"] == sorted(set(ids) - {2, 4, 6}, key=str)
+        assert found["benchmark_decontamination"] == found["secret_scans"] == sorted(ids, key=str)
+        assert set(found["toxicity"]) <= set(ids) and set(found["best_fit_packing"]) == set(ids)
