@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfvoice.llm import best_fit, chat, collocations, decontaminate, fingerprints, oracle, packing, pii, secret_scan, simhash_trie, token_counts, toxicity
+from shelfvoice.llm import best_fit, chat, collocations, decontaminate, fingerprints, oracle, packing, pii, secret_scan, simhash_trie, small_world, token_counts, toxicity
 from shelfvoice.llm.common import stage, table, tokenizer_path
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -65,6 +65,10 @@ def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_approximate_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return small_world.search_table(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: made for name, made in globals().items() if name.startswith("op")}
 
