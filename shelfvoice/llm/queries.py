@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfvoice.llm import best_fit, chat, collocations, decontaminate, fingerprints, oracle, packing, pii, secret_scan, simhash_trie, small_world, token_counts, toxicity
+from shelfvoice.llm import alignment, best_fit, chat, collocations, decontaminate, fingerprints, oracle, packing, pii, secret_scan, simhash_trie, small_world, token_counts, toxicity
 from shelfvoice.llm.common import stage, table, tokenizer_path
 
-TOKENIZER = "byte_bpe_50k.json"
+TOKENIZER, PIECE_TOKENIZER = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: For the registered query only; real data take a key that is kept apart from them.
 PSEUDONYM_KEY = "not a secret: key of the registered query"
 
@@ -65,6 +65,10 @@ def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), tokenizer_path(TOKENIZER), tokenizer_path(PIECE_TOKENIZER))
+
+
 def op13_approximate_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return small_world.search_table(table(spark, sf_dir, "embeddings"))
 
