@@ -30,8 +30,10 @@ from pyspark.sql import functions as F
 
 from shelfvoice.llm.common import col, ship, stage
 
-#: Entries a task counts before it sends them on.
-MAX_ENTRIES = 400_000
+#: Entries a task counts before it sends them on, and pairs of a language whose fate it remembers.
+MAX_ENTRIES, MAX_REMEMBERED = 300_000, 50_000
+#: Bytes of text that a task copies at a time.
+MAX_BYTES = 4 << 20
 #: Bytes of text that are cut into words at a time.
 CHUNK = 1 << 20
 #: Bits of an expansion's bitmaps, as a power of two; 4 MB each.
@@ -62,13 +64,19 @@ def _chunks(texts: list[bytes | None]):
 
 
 def _by_language(batch):
-    """``(lang, texts)`` of a batch with the columns lang and text."""
+    """``(lang, texts)`` of a batch with the columns lang and text, a few megabytes at a time."""
     langs = batch.column(0).to_pylist()
-    texts = batch.column(1).cast(pa.binary()).to_pylist()
+    texts = batch.column(1).cast(pa.binary())
     by: dict[str, list] = {}
-    for lang, text in zip(langs, texts):
+    size = 0
+    for k, lang in enumerate(langs):
+        text = texts[k].as_py()
         by.setdefault(NO_LANGUAGE if lang is None else lang, []).append(text)
-    return by.items()
+        size += len(text or b"")
+        if size > MAX_BYTES:
+            yield from by.items()
+            by, size = {}, 0
+    yield from by.items()
 
 
 def _rows(counts: dict[tuple[str, int], Counter]):
@@ -117,7 +125,7 @@ class _Grown(dict):
         if _BREAK not in pair:
             h = xxhash.xxh64_intdigest(b" ".join((self.lang, *pair)), 42) & ((1 << FRONTIER_BITS) - 1)
             made = (self.begins[h >> 3] >> (h & 7) & 1) | (self.ends[h >> 3] >> (h & 7) & 1) << 1
-        if len(self) > MAX_ENTRIES:
+        if len(self) > MAX_REMEMBERED:
             self.clear()
         self[pair] = made = int(made)
         return made
@@ -132,7 +140,9 @@ def _count_grown(begins, ends):
         wanted: dict[str, _Grown] = {}
         for batch in batches:
             for lang, texts in _by_language(batch):
-                grown = wanted.setdefault(lang, _Grown(lang, first, second))
+                if len(wanted) > 8 and lang not in wanted:
+                    wanted.clear()
+                grown = wanted.get(lang) or wanted.setdefault(lang, _Grown(lang, first, second))
                 counter = counts.setdefault((lang, 3), Counter())
                 tail = [_BREAK, _BREAK]
                 for words in _chunks(texts):
