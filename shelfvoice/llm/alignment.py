@@ -30,7 +30,7 @@ from shelfvoice.llm.token_counts import byte_alphabet
 from shelfvoice.operators.joins import lookup_left
 
 #: Stretches a worker remembers; beyond it forgets and goes on.
-MAX_STRETCHES = 200_000
+MAX_STRETCHES = 300_000
 #: Characters of texts that are aligned together.
 BATCH_CHARS = 2_000_000
 
@@ -54,17 +54,19 @@ class Aligner(dict):
         self.a_bytes = {i: bytes(alphabet[c] for c in t) for t, i in self.a.get_vocab().items() if all(c in alphabet for c in t)}
         self.b = sentencepiece.SentencePieceProcessor(model_file=pieces_path)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.b_bytes = {i: bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)}
+        self.a_signs, self.b_signs = _Signs(self.a_bytes, ",", "|"), _Signs(self.b_bytes, ",", ";")
         self.lead = self.b.encode("a")
         self.whole = any(re.search("[^▁]▁", p) for p in pieces) or "".join(self.b.encode("a  b ", out_type=str)) != "▁a▁▁b▁"
         self.forget()
 
     def forget(self) -> None:
         self.clear()
-        self.numbers: list[tuple[int, int, int, int, bool]] = []
         self.names: list[str] = []
-        self.parts: list[np.ndarray] = []
-        self.reps: list[np.ndarray] = []
+        #: A tokens, B tokens, groups, links, and whether the tokens give the stretch back.
+        self.table = np.zeros((0, 5), np.int64)
+        self.links = np.zeros(0, np.int64)  # A id * size of B + B id, stretch by stretch
+        self.first = np.zeros(1, np.int64)
 
     def stretches(self, text: str) -> list[str]:
         """Of the text with a blank before it. Where the pieces may go over blanks the text is one stretch."""
@@ -77,36 +79,40 @@ class Aligner(dict):
             new = list(found)
         if not new:
             return
-        made_a = self.a.encode_batch_fast(new, add_special_tokens=False)
+        a = [x.ids for x in self.a.encode_batch_fast(new, add_special_tokens=False)]
         # The library puts a blank before a text. Behind "a" a stretch has its own, which is always where a token starts.
-        made_b = self.b.encode(["a" + s for s in new], num_threads=1)
-        for s, x, y in zip(new, made_a, made_b):
-            self[s] = len(self.numbers)
-            self._align(s.encode(), x.ids, y[len(self.lead) :] if y[: len(self.lead)] == self.lead else [])
-        self.table = np.array(self.numbers, dtype=np.int64).reshape(-1, 5)
-        self.first = np.concatenate(([0], np.cumsum([len(p) for p in self.parts])))
-        self.codes, self.code_of = np.unique(np.concatenate(self.parts), return_inverse=True)
-        self.rep = np.concatenate(self.reps)
-
-    def _align(self, raw: bytes, a: list[int], b: list[int]) -> None:
-        a_parts, b_parts = [self.a_bytes.get(i, b"") for i in a], [self.b_bytes[i] for i in b]
-        if b"".join(a_parts) != raw or b"".join(b_parts) != raw:
-            self.numbers.append((0, 0, 0, 0, False))
-            self.names.append("")
-            self.parts.append(np.zeros(0, np.int64))
-            self.reps.append(np.zeros(0, np.int64))
-            return
-        a_ends, b_ends = (np.cumsum(list(map(len, p))) for p in (a_parts, b_parts))
+        lead = len(self.lead)
+        b = [x[lead:] if x[:lead] == self.lead else [] for x in self.b.encode(["a" + s for s in new], num_threads=1)]
+        of_a, of_b = (lambda i: self.a_bytes.get(i, b"")), self.b_bytes.__getitem__
+        fine = [b"".join(map(of_a, x)) == (raw := s.encode()) and b"".join(map(of_b, y)) == raw for s, x, y in zip(new, a, b)]
+        self.update(zip(new, itertools.count(len(self))))
+        names, table, links = self._align([x if f else [] for x, f in zip(a, fine)], [y if f else [] for y, f in zip(b, fine)])
+        self.names += names
+        self.table = np.concatenate((self.table, np.column_stack((table, fine))))
+        self.links = np.concatenate((self.links, links))
+        self.first = np.concatenate((self.first, self.first[-1] + np.cumsum(table[:, 3])))
+
+    def _align(self, a: list[list[int]], b: list[list[int]]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Names of the groups, counts and links of stretches whose tokens of either kind have the same bytes.
+
+        Laid end to end they are one text, in which every stretch ends a group.
+        """
+        rows = len(a)
+        n_a, n_b = (np.fromiter(map(len, x), np.int64, rows) for x in (a, b))
+        a_ids, b_ids = (np.fromiter(itertools.chain.from_iterable(x), np.int64, n.sum()) for x, n in ((a, n_a), (b, n_b)))
+        a_ends, b_ends = np.cumsum(self.a_signs.size[a_ids]), np.cumsum(self.b_signs.size[b_ids])
+        owner = np.repeat(np.arange(rows), n_a)
         ends = np.union1d(a_ends, b_ends)
-        ids_a, ids_b = np.array(a, np.int64), np.array(b, np.int64)
-        links = ids_a[np.searchsorted(a_ends, ends)] << 32 | ids_b[np.searchsorted(b_ends, ends)]
+        at_a = np.searchsorted(a_ends, ends)
+        links = a_ids[at_a] * len(self.b_bytes) + b_ids[np.searchsorted(b_ends, ends)]
         common = np.intersect1d(a_ends, b_ends)
-        cut_a, cut_b = ([0, *np.searchsorted(e, common, "right").tolist()] for e in (a_ends, b_ends))
-        self.names.append(";".join(f"{','.join(map(str, a[i:j]))}|{','.join(map(str, b[k:m]))}" for (i, j), (k, m) in zip(itertools.pairwise(cut_a), itertools.pairwise(cut_b))))
-        codes, times = np.unique(links, return_counts=True)
-        self.numbers.append((len(a), len(b), len(common), len(links), True))
-        self.parts.append(codes)
-        self.reps.append(times)
+        a_group, b_group = np.searchsorted(common, a_ends), np.searchsorted(common, b_ends)
+        signs = np.concatenate((self.a_signs.of(a_ids, common[a_group] == a_ends), self.b_signs.of(b_ids, common[b_group] == b_ends)))
+        signs = signs[np.argsort(np.concatenate((2 * a_group, 2 * b_group + 1)), kind="stable")].tolist()
+        bounds = np.concatenate(([0], np.cumsum(n_a + n_b))).tolist()
+        names = ["".join(signs[i:j])[:-1] for i, j in itertools.pairwise(bounds)]
+        counted = [np.bincount(owner[x], minlength=rows) for x in (np.searchsorted(a_ends, common), at_a)]
+        return names, np.column_stack((n_a, n_b, *counted)), links
 
     def texts(self, texts: list[str]):
         """``(n_a, n_b, n_groups, n_links)`` rows, group digests, and the pairs of all texts with their numbers and bounds."""
@@ -118,17 +124,37 @@ class Aligner(dict):
         rows = np.add.reduceat(self.table[at], starts, axis=0)
         fine = (rows[:, 4] == sizes) & np.array([t != "" for t in texts])
         rows = rows[:, :4] * fine[:, None]
-        digests = [hashlib.sha256(";".join(map(self.names.__getitem__, at[s : s + n].tolist())).encode()).hexdigest() if f else "" for s, n, f in zip(starts, sizes, fine)]
+        names = list(map(self.names.__getitem__, at.tolist()))
+        digests = [hashlib.sha256(";".join(names[s : s + n]).encode()).hexdigest() if f else "" for s, n, f in zip(starts.tolist(), sizes.tolist(), fine.tolist())]
         owner = np.repeat(np.arange(len(texts)), sizes)
         keep = fine[owner]
-        held, often = np.unique(owner[keep] * len(self.numbers) + at[keep], return_counts=True)
-        owner, at = held // len(self.numbers), held % len(self.numbers)
+        held, often = np.unique(owner[keep] * len(self) + at[keep], return_counts=True)
+        owner, at = held // len(self), held % len(self)
         count = self.first[at + 1] - self.first[at]
         place = np.arange(count.sum()) + np.repeat(self.first[at] - np.cumsum(count) + count, count)
-        keys, inverse = np.unique(np.repeat(owner, count) * len(self.codes) + self.code_of[place], return_inverse=True)
-        times = np.bincount(inverse, self.rep[place] * np.repeat(often, count), len(keys)).astype(np.int64)
-        bounds = np.searchsorted(keys, np.arange(len(texts) + 1) * len(self.codes))
-        return rows, digests, self.codes[keys % len(self.codes)] if len(keys) else keys, times, bounds
+        size_b = len(self.b_bytes)
+        kinds = self.a_signs.kinds * size_b
+        keys = np.repeat(owner, count) * kinds + self.links[place]
+        order = np.argsort(keys)
+        keys, weights = keys[order], np.repeat(often, count)[order]
+        new = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+        keys = keys[new]
+        times = np.add.reduceat(weights, new) if len(new) else new
+        bounds = np.searchsorted(keys, np.arange(len(texts) + 1) * kinds)
+        pairs = keys % kinds
+        return rows, digests, pairs // size_b << 32 | pairs % size_b, times, bounds
+
+
+class _Signs:
+    """Of the tokens of one vocabulary: sizes in bytes, and ids as text with the mark that follows in or after a group's list."""
+
+    def __init__(self, of_id: dict[int, bytes], inside: str, last: str):
+        self.kinds = max(of_id) + 1
+        self.size = np.array([len(of_id.get(i, b"")) for i in range(self.kinds)])
+        self.inside, self.last = (np.array([f"{i}{mark}" for i in range(self.kinds)], object) for mark in (inside, last))
+
+    def of(self, ids: np.ndarray, ending: np.ndarray) -> np.ndarray:
+        return np.where(ending, self.last[ids], self.inside[ids])
 
 
 @lru_cache(2)
