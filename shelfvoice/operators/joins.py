@@ -64,6 +64,15 @@ def salted_left(left: DataFrame, right: DataFrame, key: str, spread_by: Column)
     return salted.drop("_salts").join(copies.drop("_salts"), [key, "_salt"], "left").drop("_salt")
 
 
+def salted_inner(left: DataFrame, right: DataFrame, key: str, spread_by: Column) -> DataFrame:
+    """Inner join that splits hot keys of ``left``; ``right`` may have several rows for a key."""
+    hot = F.broadcast(stage(hot_keys(left, key, _pieces(left)), "hot-keys"))
+    salts = F.coalesce("_salts", F.lit(1)).cast("bigint")
+    salted = left.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(spread_by), salts)).drop("_salts")
+    copies = right.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1))).drop("_salts")
+    return salted.join(copies, [key, "_salt"]).drop("_salt")
+
+
 def lookup_left(
     left: DataFrame, right: DataFrame, key: str, spread_by: Column, size_of: DataFrame | None = None
 ) -> DataFrame:

@@ -12,6 +12,7 @@ from shelfvoice.functions import text as X
 from shelfvoice.operators import brands as B
 from shelfvoice.operators import cache as K
 from shelfvoice.operators import clean as C
+from shelfvoice.operators import containment as G
 from shelfvoice.operators import enrich as E
 from shelfvoice.operators import filters as Q
 from shelfvoice.operators import lexicon as L
@@ -529,6 +530,10 @@ def queries():
         "keyword_frequency_many": _over(T.texts, lambda d: L.keyword_frequency(d, L.Lexicon(tuple(T.SYLLABLES)))),
         "match_summary": lambda spark, sf: L.match_summary(_matched(spark, sf)),
         "match_by_rating": lambda spark, sf: L.match_by_rating(_matched(spark, sf)),
+        "lexicon_pairs_openings": lambda spark, sf: G.lexicon_pairs(T.texts(spark, sf), T.opening_lexicon(spark, sf)),
+        "keyword_frequency_openings": lambda spark, sf: G.keyword_frequency(T.texts(spark, sf), T.opening_lexicon(spark, sf)),
+        "category_stats_openings": lambda spark, sf: G.category_stats(T.texts(spark, sf), T.opening_lexicon(spark, sf)),
+        "keyword_frequency_parts": lambda spark, sf: G.keyword_frequency(T.texts(spark, sf), L.normalise_lexicon(T.part_lexicon_raw(spark, sf))),
         "match_keyword_counts": lambda spark, sf: L.match_keyword_counts(_matched(spark, sf)),
         "match_rating_counts": lambda spark, sf: L.match_rating_counts(_matched(spark, sf)),
         "top_keywords": _with_lexicon(lambda d, x: L.top_keywords(L.keyword_frequency(d, x), 1)),

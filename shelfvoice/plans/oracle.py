@@ -121,6 +121,12 @@ PART_ENTRIES = """entries AS (
   SELECT p_type AS main, p_brand AS sub, replace(p_name, ' ', ' , ,') || ',' || p_name AS keywords FROM part)"""
 PART_WORDS = f"""{PART_ENTRIES}, part_words AS (
   SELECT DISTINCT lower(trim(w)) AS word FROM (SELECT unnest(string_split(keywords, ',')) AS w FROM entries) WHERE trim(w) <> '')"""
+OPENINGS = """openings AS (
+  SELECT DISTINCT coalesce(lang, 'none') AS main, coalesce(source, 'none') AS sub, substring(text, 1, 14) AS keyword
+  FROM documents WHERE length(trim(substring(text, 1, 14), ' ')) >= 4),
+opening_hits AS (SELECT doc_id AS "ID", main, sub, keyword FROM documents JOIN openings ON contains(lower(text), lower(keyword)))"""
+PART_PAIRS = f"""{PART_ENTRIES}, part_keys AS (
+  SELECT DISTINCT main, sub, trim(k) AS keyword FROM (SELECT main, sub, unnest(string_split(keywords, ',')) AS k FROM entries) WHERE trim(k) <> '')"""
 CACHE = "cache AS (SELECT md5(CAST(user_id AS VARCHAR)) AS cache_key, event_type AS value, ts AS written_at FROM events)"
 VALID = f"""{CACHE}, valid AS (
   SELECT cache_key, value, written_at FROM cache WHERE {FRESH}
@@ -341,6 +347,14 @@ def oracle_sql() -> dict[str, str]:
                (SELECT count(*) FROM text_reviews) - count(DISTINCT h."ID") AS unmatched
              FROM (SELECT DISTINCT main, sub FROM syllables) c LEFT JOIN syllable_hits h ON c.main = h.main AND c.sub = h.sub GROUP BY c.main, c.sub""",
         "keyword_frequency_many": f"WITH {TEXT}, {SYLLABLES} SELECT main, sub, keyword, count(*) AS n FROM syllable_hits GROUP BY ALL",
+        "lexicon_pairs_openings": f"""WITH {OPENINGS} SELECT * FROM opening_hits""",
+        "keyword_frequency_openings": f"""WITH {OPENINGS} SELECT main, sub, keyword, count(*) AS n FROM opening_hits GROUP BY ALL""",
+        "category_stats_openings": f"""WITH {OPENINGS}
+             SELECT c.main, c.sub, count(DISTINCT h."ID") AS matched, {_pct('count(DISTINCT h."ID")', '(SELECT count(*) FROM documents)')} AS pct,
+               (SELECT count(*) FROM documents) - count(DISTINCT h."ID") AS unmatched
+             FROM (SELECT DISTINCT main, sub FROM openings) c LEFT JOIN opening_hits h ON c.main = h.main AND c.sub = h.sub GROUP BY c.main, c.sub""",
+        "keyword_frequency_parts": f"""WITH {PART_PAIRS} SELECT main, sub, keyword, count(*) AS n
+             FROM documents JOIN part_keys ON contains(lower(text), lower(keyword)) GROUP BY ALL""",
         "match_summary": f"""WITH {MATCHED} SELECT count(*) AS total_reviews, count(*) FILTER ("Match_Count" > 0) AS matched_reviews,
              {_share('count(*) FILTER ("Match_Count" > 0)', 'count(*)')} AS match_rate FROM matched""",
         "match_by_rating": f"""WITH {MATCHED} SELECT "Rating", count(*) AS n_reviews, {_half_even('avg("Match_Count")')} AS avg_matches

@@ -153,6 +153,13 @@ def part_lexicon_raw(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def opening_lexicon(spark: SparkSession, sf: str) -> DataFrame:
+    """A lexicon as large as the table: how each document begins, as a keyword of its language and source."""
+    start = F.substring("text", 1, 14)
+    docs = table(spark, sf, "documents").filter(F.length(F.trim(start)) >= 4)
+    return docs.select(F.coalesce("lang", F.lit("none")).alias("main"), F.coalesce("source", F.lit("none")).alias("sub"), start.alias("keyword")).distinct()
+
+
 def stop_words(spark: SparkSession) -> DataFrame:
     return literal_table(spark, [(w,) for w in STOP_WORDS], ["word"])
 
