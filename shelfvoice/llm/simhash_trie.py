@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from shelfvoice.llm.common import col, ship, stage
 from shelfvoice.llm.components import components
+from shelfvoice.operators.joins import fits_broadcast
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({c: c + 32 for c in range(ord("A"), ord("Z") + 1)})
@@ -289,5 +290,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = near_groups(rows, number, text_col, shingle, radius, exact).select(F.col("doc_id").alias(number), "component_id")
     named = rows.select(number, col(id_col).alias("id")).join(groups, number)
     first = named.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("missing"), "id", number)).alias("first"))
-    kept = stage(first.select(F.col(f"first.{number}").alias(number)), "kept")
-    return rows.join(kept, number, "left_semi").drop(number)
+    kept = first.select(F.col(f"first.{number}").alias(number))
+    # The rows that go are the fewer; the documents only shuffle where even their numbers are too many to broadcast.
+    gone = stage(groups.select(number).join(kept, number, "left_anti"), "gone")
+    return rows.join(F.broadcast(gone) if fits_broadcast(gone) else gone, number, "left_anti").drop(number)
