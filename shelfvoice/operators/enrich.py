@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from shelfvoice.functions.numbers import percent
 from shelfvoice.functions.text import (
+    ERROR_CLASSES,
     cache_key,
     chunk_text,
     clean_output,
@@ -32,6 +33,8 @@ from shelfvoice.operators.joins import fits_broadcast, lookup_left
 from shelfvoice.schema import CACHE_TTL_DAYS, ERROR_PREVIEW_CHARS, MAX_RETRIES, RETRY_PAUSE_SECONDS, require_columns
 from shelfvoice.sources.workspace import stage
 
+#: Classes of failure that a repeat cannot mend, and those that pass if calls slow down.
+PERMANENT, SLOWED = ("unauthorized", "not_found"), ("rate_limited", "timeout")
 BatchFunction = Callable[[list[str]], list[str]]
 _CALL_SCHEMA = "cache_key string, outputs array<string>, message string"
 
@@ -53,31 +56,46 @@ class LabelTask:
 
 @dataclass(frozen=True)
 class CallOptions:
-    """How ``fn`` is called. ``max_callers`` is the number of tasks that call; default: one a core."""
+    """How ``fn`` is called. ``max_callers`` is the number of tasks that call; default: one a core.
+
+    ``interval`` is the least time in seconds from one call of a task to its
+    next, so ``max_callers / interval`` bounds the calls a second. After a rate
+    limit or a timeout each further pause is ``growth`` times the last.
+    """
 
     batch_size: int = 64
     max_retries: int = MAX_RETRIES
     pause: float = RETRY_PAUSE_SECONDS
     max_callers: int | None = None
+    interval: float = 0.0
+    growth: float = 2.0
 
 
 def call_function(work: DataFrame, fn: BatchFunction, options: CallOptions) -> DataFrame:
     """Run ``fn`` over ``(cache_key, pieces)``; a failure is data, the job goes on.
 
     Texts are sent in batches. If a batch fails, its texts are tried one by one,
-    each up to ``max_retries`` times, so only texts that really fail are lost. An
-    answer that is missing or no text is a failure too. The work is dealt over a
-    fixed number of tasks, so that a few short texts are not called from one.
+    each up to ``max_retries`` times, so only texts that really fail are lost;
+    what a repeat cannot mend (``PERMANENT``) is not repeated. An answer that is
+    missing or no text is a failure too. The work is dealt over a fixed number of
+    tasks, so that a few short texts are not called from one.
     """
     # Plain values: workers then need nothing of this package to load the function.
     batch_size, max_retries, pause = options.batch_size, options.max_retries, options.pause
+    interval, growth = options.interval, options.growth
+    marks, permanent, slowed = list(ERROR_CLASSES), set(PERMANENT), set(SLOWED)
 
     def run(frames):
         import time
 
         import pandas as pd
 
+        last = [float("-inf")]
+
         def call(texts):
+            if interval:
+                time.sleep(max(0.0, last[0] + interval - time.monotonic()))
+                last[0] = time.monotonic()
             out = list(fn(texts))
             if len(out) != len(texts):
                 raise ValueError(f"expected {len(texts)} results, got {len(out)}")
@@ -91,8 +109,11 @@ def call_function(work: DataFrame, fn: BatchFunction, options: CallOptions) -> D
                     return call(pieces), None
                 except Exception as problem:  # noqa: BLE001 - any failure becomes data
                     message = str(problem) or type(problem).__name__
+                    kind = next((name for mark, name in marks if mark in message.lower()), "other")
+                    if kind in permanent:
+                        break
                     if attempt + 1 < max_retries:
-                        time.sleep(pause)
+                        time.sleep(pause * growth**attempt if kind in slowed else pause)
             return None, message
 
         def batch(group):

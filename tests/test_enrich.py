@@ -68,6 +68,39 @@ def test_one_bad_text_does_not_fail_the_batch(reviews, tmp_path):
     assert (row.n_done, row.n_failed, row.n_cached, row.n_blank, row.pct_success) == (3, 1, 0, 2, 75.0)
 
 
+def failing(folder, message):
+    """Leaves the time of each call and fails."""
+    folder = str(folder)
+
+    def fn(texts):
+        import time
+        import uuid
+
+        with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+            f.write(repr(time.monotonic()))
+        raise RuntimeError(message)
+
+    return fn
+
+
+@pytest.mark.parametrize("message,asked,gaps", [("HTTP 401", 2, [0]), ("404 no such model", 2, [0]), ("HTTP 429", 4, [0, 0.2, 0.6]), ("Timeout", 4, [0, 0.2, 0.6]), ("odd", 4, [0, 0.2, 0.2])])
+def test_repeats_follow_the_class_of_the_failure(spark, tmp_path, message, asked, gaps):
+    """One call for the batch, then the text alone: once, or three times with pauses that grow where calls should slow down."""
+    work = spark.createDataFrame([("k", ["text"])], "cache_key string, pieces array<string>")
+    made = E.call_function(work, failing(tmp_path, message), E.CallOptions(pause=0.2, growth=3.0, max_retries=3)).first()
+    times = sorted(float(t) for t in calls(tmp_path))
+    assert made.outputs is None and made.message == message and len(times) == asked
+    for a, b, least in zip(times, times[1:], gaps):
+        assert least <= b - a < least + 0.35
+
+
+def test_interval_between_the_calls_of_a_task(spark, tmp_path):
+    work = spark.createDataFrame([(f"k{i}", [f"t{i}"]) for i in range(4)], "cache_key string, pieces array<string>")
+    E.call_function(work, failing(tmp_path, "401"), E.CallOptions(batch_size=1, max_callers=1, interval=0.15)).collect()
+    times = sorted(float(t) for t in calls(tmp_path))
+    assert len(times) == 8 and all(b - a >= 0.149 for a, b in zip(times, times[1:]))
+
+
 def test_short_answer_is_a_failure(spark):
     df = spark.createDataFrame([(1, "x")], "ID long, Content string")
     made = E.enrich_columns(df, ["Content"], lambda texts: [], engine="e", options=NO_WAIT)
