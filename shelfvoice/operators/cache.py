@@ -8,7 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfvoice.operators.rowids import assign_row_ids
+from shelfvoice.operators.positions import Key, find_slice, rows_between
 from shelfvoice.schema import CACHE_TTL_DAYS
 from shelfvoice.sources.readers import scan_files
 from shelfvoice.sources.workspace import stage
@@ -54,12 +54,20 @@ def cache_report(cache: DataFrame, now=None, ttl_days: float = CACHE_TTL_DAYS) -
 
 def retain(cache: DataFrame, now=None, ttl_days: float = CACHE_TTL_DAYS, max_items: int | None = None) -> DataFrame:
     """Entries that stay: newest of each key, unexpired and, if a bound is named, the ``max_items`` latest."""
-    entries = valid_entries(cache, now, ttl_days)
     if max_items is None:
-        return entries
-    # Numbering gathers no range of rows in one task, however large the bound.
-    placed = assign_row_ids(entries, [F.desc("written_at"), F.asc("cache_key")], "_place")
-    return placed.filter(F.col("_place") <= max_items).drop("_place")
+        return valid_entries(cache, now, ttl_days)
+    # One moment for all passes, or entries would expire between them.
+    now = cache.sparkSession.range(1).select(as_now(now)).first()[0]
+    order = [Key("written_at", ascending=False), Key("cache_key")]
+    # The bound is sought on keys and times alone; values are read for the entries near or above it.
+    newest = valid_entries(cache, now, ttl_days).select("cache_key", "written_at")
+    part = find_slice(newest, order, 0, max_items)
+    if part is None:
+        return valid_entries(cache, now, ttl_days).limit(0)
+    if part.high is not None:
+        # A kept entry's newest row is not before the bound, so older rows need no grouping.
+        cache = cache.filter(F.col("written_at") >= part.high[0])
+    return rows_between(part.of(valid_entries(cache, now, ttl_days)), order, 0, max_items)
 
 
 def compact_cache(spark: SparkSession, path: str, now=None, ttl_days: float = CACHE_TTL_DAYS, max_items: int | None = None) -> None:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfvoice.functions.numbers import half_even, percent
 from shelfvoice.functions.text import nonblank
-from shelfvoice.operators.rowids import assign_row_ids
+from shelfvoice.operators.positions import Key, rows_between
 from shelfvoice.schema import MIN_TEXT_LENGTH, REVIEW_TYPE
 
 FACETS = ["Brand", "Asin", "Rating", REVIEW_TYPE]
@@ -26,14 +26,13 @@ def facet_predicate(filters: dict) -> Column:
 def row_range(df: DataFrame, start: int, end: int, order_by: str = "ID", dense: bool = False) -> DataFrame:
     """Rows ``[start, end)`` by position in ``order_by``.
 
-    Dense ids make this a plain filter. Otherwise the rows are numbered, whatever
-    the range, so that no task holds it; rows that tie in ``order_by`` are ordered
-    by a hash of the whole row.
+    Dense ids make this a plain filter. Otherwise bounds around the range are
+    selected first, so that only rows near it are sorted and written; rows that
+    tie in ``order_by`` are ordered by a hash of the whole row.
     """
     if dense:
         return df.filter((F.col(order_by) > start) & (F.col(order_by) <= end))
-    numbered = assign_row_ids(df, [order_by], "_position")
-    return numbered.filter((F.col("_position") > start) & (F.col("_position") <= end)).drop("_position")
+    return rows_between(df, [Key(order_by)], start, end)
 
 
 def filter_reviews(df: DataFrame, filters: dict | None) -> DataFrame:
