@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
+from math import ceil
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -31,11 +32,13 @@ from shelfvoice.functions.text import (
 from shelfvoice.operators.cache import append_results, read_cache, valid_entries
 from shelfvoice.operators.joins import fits_broadcast, lookup_left
 from shelfvoice.schema import CACHE_TTL_DAYS, ERROR_PREVIEW_CHARS, MAX_RETRIES, RETRY_PAUSE_SECONDS, require_columns
-from shelfvoice.sources.workspace import stage
+from shelfvoice.sources.workspace import stage, stage_rounds
 
 #: Classes of failure that a repeat cannot mend, and those that pass if calls slow down.
 PERMANENT, SLOWED = ("unauthorized", "not_found"), ("rate_limited", "timeout")
 BatchFunction = Callable[[list[str]], list[str]]
+#: Parts of the key hash that rounds are made of.
+_SLOTS = 1 << 40
 _CALL_SCHEMA = "cache_key string, outputs array<string>, message string"
 
 
@@ -61,6 +64,9 @@ class CallOptions:
     ``interval`` is the least time in seconds from one call of a task to its
     next, so ``max_callers / interval`` bounds the calls a second. After a rate
     limit or a timeout each further pause is ``growth`` times the last.
+    Work goes in rounds of about ``round_texts`` texts. A round's outcomes are
+    written, and its successes cached, before the next begins, so a lost task
+    repeats only its share of one round and a job that ends early only that round.
     """
 
     batch_size: int = 64
@@ -69,6 +75,7 @@ class CallOptions:
     max_callers: int | None = None
     interval: float = 0.0
     growth: float = 2.0
+    round_texts: int = 100_000
 
 
 def call_function(work: DataFrame, fn: BatchFunction, options: CallOptions) -> DataFrame:
@@ -180,19 +187,38 @@ def _resolve(
         hits = known.filter("value IS NOT NULL").select(
             "cache_key", "value", F.lit("cached").alias("status"), F.lit(None).cast("string").alias("error_class")
         )
-    called = call_function(work.select("cache_key", pieces.alias("pieces")), fn, options)
-    answered = called.select(
-        "cache_key",
-        F.when(F.col("message").isNull(), finish(F.array_join("outputs", " "))).alias("value"),
-        F.when(F.col("message").isNull(), "done").otherwise("failed").alias("status"),
-        error_class(F.col("message")).alias("error_class"),
-    )
-    new = stage(answered, "enriched")
-    if cache_path is not None:
-        append_results(new, cache_path, now)
+    def answered(texts: DataFrame) -> DataFrame:
+        called = call_function(texts, fn, options)
+        return called.select(
+            "cache_key",
+            F.when(F.col("message").isNull(), finish(F.array_join("outputs", " "))).alias("value"),
+            F.when(F.col("message").isNull(), "done").otherwise("failed").alias("status"),
+            error_class(F.col("message")).alias("error_class"),
+        )
+
+    def store(outcomes: DataFrame) -> None:
+        if cache_path is not None:
+            append_results(outcomes, cache_path, now)
+
+    rounds = _rounds(work.select("cache_key", pieces.alias("pieces")), options.round_texts)
+    new = stage_rounds((answered(texts) for texts in rounds), "enriched", store)
     return new if hits is None else hits.unionByName(new)
 
 
+def _rounds(work: DataFrame, round_texts: int) -> Iterable[DataFrame]:
+    """The work in parts of about ``round_texts`` rows by a hash of the key; one part if there is little or none.
+
+    It is written once, sorted by the hash inside each file, so that a round
+    reads its own pages and not all of the work.
+    """
+    slots = work.withColumn("_slot", F.pmod(F.xxhash64("cache_key"), F.lit(_SLOTS)))
+    slots = stage(slots.sortWithinPartitions("_slot"), "work")
+    n = max(1, ceil(slots.count() / round_texts))
+    for i in range(n):
+        mine = (F.col("_slot") >= _SLOTS * i // n) & (F.col("_slot") < _SLOTS * (i + 1) // n)
+        yield slots.filter(mine).drop("_slot")
+
+
 def _with_status(cache: DataFrame) -> DataFrame:
     """A cache frame without a status holds successes."""
     status = F.col("status") if "status" in cache.columns else F.lit("done")

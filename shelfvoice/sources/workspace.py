@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,6 +45,23 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_rounds(frames: Iterable[DataFrame], name: str, after: Callable[[DataFrame], None] = lambda _: None) -> DataFrame:
+    """Write frames of one schema in turn and return all rows read back.
+
+    Each frame is whole in the work folder, and ``after`` was called with it,
+    before the next one is asked for. At least one frame is needed.
+    """
+    path = None
+    for i, df in enumerate(frames):
+        spark, schema = df.sparkSession, df.schema
+        if path is None:
+            path = new_path(spark, name)
+            _staged.append(path)
+        df.write.parquet(f"{path}/round={i}")
+        after(spark.read.schema(schema).parquet(f"{path}/round={i}"))
+    return spark.read.schema(schema).parquet(path).select(*schema.names)
+
+
 def cleanup(spark: SparkSession) -> int:
     """Remove the tables staged so far; call it when the results that rest on them are written. Returns their number.
 

@@ -226,3 +226,56 @@ def test_workers_need_no_package(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     out = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=240)
     assert "GOT a!" in out.stdout, out.stderr[-2000:]
+
+
+def killing(folder, victim):
+    """A recorder whose task dies, process and all, when it first meets a text."""
+    record = recorder(folder / "calls")
+    mark = str(folder / "killed")
+
+    def fn(texts):
+        import os
+
+        if victim in texts and not os.path.exists(mark):
+            open(mark, "w").close()
+            os._exit(1)
+        return record(texts)
+
+    return fn
+
+
+def test_a_lost_task_repeats_no_finished_round(spark, tmp_path):
+    """The first job ends with the killed task; the second finds every finished round in the cache."""
+    (tmp_path / "calls").mkdir()
+    df = spark.range(300).select(F.col("id").alias("ID"), F.concat(F.lit("text "), F.col("id") % 200).alias("Content"))
+    options = E.CallOptions(pause=0.0, round_texts=70, max_callers=2, batch_size=1)
+    path = str(tmp_path / "cache")
+    fn = killing(tmp_path, "text 77")
+    run = lambda: E.enrich_columns(df, ["Content"], fn, engine="e", cache_path=path, now=NOW, options=options)
+    with pytest.raises(Exception, match="[Ww]orker"):
+        run()
+    finished = {r.value[1:-1] for r in K.read_cache(spark, path).collect()}
+    first = calls(tmp_path / "calls")
+    assert len(set(first) - finished) < 100 and "text 77" not in first
+    got = {r.ID: r.Content_zh for r in run().rows.collect()}
+    assert got == {i: f"<text {i % 200}>" for i in range(300)}
+    asked = calls(tmp_path / "calls")
+    assert set(asked) == {f"text {i}" for i in range(200)}
+    assert all(asked.count(t) == 1 for t in finished)
+
+
+def test_rounds_give_what_one_round_gives(spark, tmp_path):
+    df = spark.range(100).select(F.col("id").alias("ID"), F.concat(F.lit("t"), F.col("id") % 60).alias("Content"))
+    many = E.enrich_columns(df, ["Content"], recorder(tmp_path, "t7"), engine="e", options=E.CallOptions(pause=0.0, round_texts=25, max_retries=1))
+    assert many.rows.filter("Content_zh LIKE '<%'").count() == many.log.filter("status = 'done'").count() > 0
+    assert {r.status for r in many.log.filter("ID % 60 = 7").collect()} == {"failed"} and many.log.count() == 100
+    none = E.enrich_columns(df.filter("ID < 0"), ["Content"], recorder(tmp_path), engine="e", options=NO_WAIT)
+    assert none.rows.count() == 0 and "Content_zh" in none.rows.columns
+
+
+def test_a_round_reads_its_share_of_the_work(spark):
+    work = spark.range(1000).select(F.col("id").cast("string").alias("cache_key"), F.array(F.lit("x")).alias("pieces"))
+    parts = list(E._rounds(work, 100))
+    keys = [{r.cache_key for r in p.collect()} for p in parts]
+    assert len(parts) == 10 and sum(map(len, keys)) == len(set().union(*keys)) == 1000 and max(map(len, keys)) < 160
+    assert "GreaterThanOrEqual(_slot," in parts[3]._jdf.queryExecution().toString()
