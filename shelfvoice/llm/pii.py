@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from shelfvoice.llm.common import col, located
 
 ROUNDS = 8
+_SYMBOL = "^[0-9A-Za-z]$"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _YEAR = r"(?:1[89]|2[01])\d\d"
 #: Patterns by kind, which say where a stretch begins.
@@ -98,10 +99,12 @@ def permute_pair(left: Column, right: Column, sizes: tuple[int, int], key: str,
 
 
 def permute_text(text: Column, key: str, tweak: str) -> Column:
-    """Feistel network on the characters: digits stay digits, letters keep their case, other characters stay.
+    """Feistel network on the letters and digits: digits stay digits, letters keep their case, other characters stay.
 
-    The two halves are the even and the odd places; a half is shifted, each
-    character within its class, by a digest of the other half.
+    The two halves are the symbols of even and of odd rank, separators not
+    counted, so a value has the same image in each of its spellings and both
+    halves hold a symbol whenever two are there. A half is shifted, each symbol
+    within its class, by a digest of the other half.
     """
 
     def shifted(own: Column, other: Column, turn: Column) -> Column:
@@ -112,10 +115,22 @@ def permute_text(text: Column, key: str, tweak: str) -> Column:
         even = shifted(s["l"], s["r"], k * 2)
         return _let(even, lambda e: F.struct(e.alias("l"), shifted(s["r"], e, k * 2 + 1).alias("r")))
 
+    def written(chars: Column, done: Column) -> Column:
+        """The text with its symbols replaced one after the other."""
+
+        def step(s: Column, c: Column) -> Column:
+            half = F.floor(s["n"] / 2).cast("int")
+            new = F.when(s["n"] % 2 == 0, F.get(done["l"], half)).otherwise(F.get(done["r"], half))
+            is_symbol = c.rlike(_SYMBOL)
+            return F.struct(F.concat(s["out"], F.when(is_symbol, new).otherwise(c)).alias("out"), (s["n"] + is_symbol.cast("int")).alias("n"))
+
+        return F.aggregate(chars, F.struct(F.lit("").alias("out"), F.lit(0).alias("n")), step)["out"]
+
     def run(chars: Column) -> Column:
-        start = F.struct(F.filter(chars, lambda c, i: i % 2 == 0).alias("l"), F.filter(chars, lambda c, i: i % 2 == 1).alias("r"))
+        symbols = F.filter(chars, lambda c: c.rlike(_SYMBOL))
+        start = _let(symbols, lambda a: F.struct(F.filter(a, lambda c, i: i % 2 == 0).alias("l"), F.filter(a, lambda c, i: i % 2 == 1).alias("r")))
         done = F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS // 2 - 1)), start, turn)
-        return _let(done, lambda s: F.array_join(F.transform(chars, lambda c, i: F.when(i % 2 == 0, F.get(s["l"], F.floor(i / 2).cast("int"))).otherwise(F.get(s["r"], F.floor(i / 2).cast("int")))), ""))
+        return _let(done, lambda s: written(chars, s))
 
     return _let(_chars(text), run)
 
@@ -162,6 +177,16 @@ def valid(value: Column, kind: Column) -> Column:
     )
 
 
+def canonical(value: Column, kind: Column) -> Column:
+    """One spelling for all spellings of a value: numbers without separators, dates year first."""
+    return (
+        F.when(kind.isin("card", "phone"), F.regexp_replace(value, "[^0-9+]", ""))
+        .when(kind == "iban", _compact(value))
+        .when(kind == "day_first", F.date_format(_date(value, kind), "yyyy-MM-dd"))
+        .otherwise(value)
+    )
+
+
 def pseudonym(value: Column, kind: Column, key: str) -> Column:
     """The value's image in its own format. Cards, account numbers, addresses and dates stay valid."""
     part = lambda sep, k: F.element_at(F.split(value, sep), k).cast("long")
@@ -184,7 +209,9 @@ def pseudonym(value: Column, kind: Column, key: str) -> Column:
     iban = _let(body, lambda b: F.concat(country, F.lpad((98 - mod97(F.concat(_compact(b), country, F.lit("00")))).cast("string"), 2, "0"), b))
     top = F.regexp_extract(value, r"(\.[A-Za-z]+)$", 1)
     email = F.concat(permute_text(F.substr(value, F.lit(1), F.length(value) - F.length(top)), key, "email"), top)
-    phone = F.concat(F.substring(value, 1, 3), permute_text(F.substr(value, F.lit(4)), key, "phone"))
+    # A country's code stays: one digit for +1 and +7, else two.
+    code = F.when(value.rlike(r"^[+][17]"), 2).when(F.startswith(value, F.lit("+")), 3).otherwise(0)
+    phone = _let(code, lambda n: F.concat(F.substr(value, F.lit(1), n), permute_text(F.substr(value, n + 1), key, "phone")))
     choices = {"email": email, "iban": iban, "ipv4": address, "date": F.date_format(moved, "yyyy-MM-dd"), "day_first": day_first, "ssn": number, "card": card, "phone": phone}
     out = F.lit(None).cast("string")
     for name, made in choices.items():
@@ -234,11 +261,11 @@ def scan(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "tex
     """``(doc_id, kind, start, length, value_hmac, pseudonym)``, a row for each valid value in each row.
 
     ``start`` and ``length`` are code points; ``value_hmac`` is a keyed digest,
-    equal for equal values. Null and empty texts have none; null and repeated
+    equal for equal values in any of their spellings (see ``canonical``). Null and empty texts have none; null and repeated
     ids pass through; other columns are not read.
     """
     rows = docs.select(col(id_col).cast("long").alias("doc_id"), F.explode(found(col(text_col).cast("string"), key)).alias("f")).filter("f.pseudonym IS NOT NULL")
-    digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit("value"), F.col("f.value")).cast("binary"), 256)
+    digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit("value"), canonical(F.col("f.value"), F.col("f.kind"))).cast("binary"), 256)
     return rows.select("doc_id", "f.kind", "f.start", F.length("f.value").cast("long").alias("length"), digest.alias("value_hmac"), "f.pseudonym")
 
 
