@@ -6,34 +6,49 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from shelfvoice.operators.joins import lookup_left
 from shelfvoice.sources.readers import FILE_COLUMN, ROW_COLUMN, SPLIT_COLUMN
 from shelfvoice.sources.workspace import stage
 
 _SLOT_BITS = 33
-_MAX_SPLITS_BROADCAST = 500_000
 
 
 def _running_start(sizes: DataFrame, *order: str) -> DataFrame:
-    """Rows before each part. ``sizes`` has one row per split or partition."""
+    """Rows before each part. ``sizes`` has one row per partition."""
     before = W.orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     return sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
 
 
+def _split_starts(sizes: DataFrame) -> DataFrame:
+    """Rows before each split ``_at``, in two levels.
+
+    Splits are dealt over ranges and written with the number of their range.
+    Offsets inside a range are summed by range, those of the ranges, at most one
+    for each shuffle partition, in one short window. No task sees all splits.
+    """
+    dealt = stage(sizes.repartitionByRange("_at").withColumn("_range", F.spark_partition_id()), "split-sizes")
+    ranges = _running_start(dealt.groupBy("_range").agg(F.sum("_n").alias("_n")), "_range")
+    inside = W.partitionBy("_range").orderBy("_at").rowsBetween(W.unboundedPreceding, -1)
+    return (
+        dealt.withColumn("_inside", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+        .join(F.broadcast(ranges.drop("_n")), "_range")
+        .select("_at", (F.col("_before") + F.col("_inside") - F.col("_first")).alias("_shift"))
+    )
+
+
 def ids_in_file_order(df: DataFrame, id_col: str = "ID") -> DataFrame:
     """Ids in input order for an unfiltered file scan with its position columns.
 
     A row's id is its place in its split plus the rows of the splits before it,
     so the rows themselves are neither shuffled nor sorted. Splits are counted
-    in a scan of their own that reads no data columns.
+    in a scan of their own that reads no data columns. Their offsets are
+    broadcast if measured small; beyond, they are joined by split, and splits
+    with many rows are salted by row.
     """
-    split = [FILE_COLUMN, SPLIT_COLUMN]
-    sizes = df.groupBy(*split).agg(F.count(F.lit(1)).alias("_n"), F.min(ROW_COLUMN).alias("_first"))
-    starts = _running_start(sizes, *split).drop("_n")
-    # The driver has planned the scan already: files plus tasks bound the splits.
-    if len(df.inputFiles()) + df.rdd.getNumPartitions() <= _MAX_SPLITS_BROADCAST:
-        starts = F.broadcast(starts)
-    place = F.col("_before") + F.col(ROW_COLUMN) - F.col("_first") + 1
-    return df.join(starts, split).withColumn(id_col, place).drop("_before", "_first")
+    placed = df.withColumn("_at", F.struct(FILE_COLUMN, SPLIT_COLUMN))
+    starts = _split_starts(placed.groupBy("_at").agg(F.count(F.lit(1)).alias("_n"), F.min(ROW_COLUMN).alias("_first")))
+    shifted = lookup_left(placed, starts, "_at", F.col(ROW_COLUMN))
+    return shifted.withColumn(id_col, F.col("_shift") + F.col(ROW_COLUMN) + 1).drop("_shift", "_at")
 
 
 def assign_row_ids(

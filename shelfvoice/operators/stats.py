@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -133,6 +135,39 @@ def rating_crosstab_wide(df: DataFrame, by: str | list[str], ratings: list[float
     return counts.select("grp", *[percent(F.col(n), F.col("_n"), None).alias(n) for n in [*names, "rating_other"]])
 
 
+def group_levels(df: DataFrame, levels: list[list[str]], ratings: list[float] = RATING_SCALE) -> DataFrame:
+    """``group_stats`` with types and ``rating_crosstab_wide`` of several levels from one scan.
+
+    A level is a list of columns. The result has a row for each ``(level, grp)``:
+    the measures, a counter for each type, and the shares of the ratings (NULL
+    in a group without a rating). As in ``group_stats``, rows that lack a part
+    of a level's key are left out of that level only. Rows are expanded once a
+    level inside the tasks and summed there before they shuffle.
+    """
+    columns = list(dict.fromkeys(c for level in levels for c in level))
+    # The id has a bit for each column, the first one highest, set where the level leaves the column out.
+    ids = [sum(1 << (len(columns) - 1 - k) for k, c in enumerate(columns) if c not in level) for level in levels]
+    names = [f"rating_{r:g}".replace(".", "_") for r in ratings]
+    is_named = F.col("Rating").isin([float(r) for r in ratings])
+    counts = df.groupingSets([[F.col(f"`{c}`") for c in level] for level in levels], *[F.col(f"`{c}`") for c in columns]).agg(
+        F.grouping_id().alias("_level"),
+        *_rating_measures(),
+        *[F.count_if(_is_type(t)).alias(f"n_{t}") for t in REVIEW_TYPES],
+        *[F.count_if(F.col("Rating") == r).alias(n) for n, r in zip(names, ratings)],
+        F.count_if(~is_named).alias("rating_other"),
+    )
+    is_level = [F.col("_level") == k for k in ids]
+    whole, key, name = F.lit(False), F.lit(None).cast("string"), F.lit(None).cast("string")
+    for test, level in zip(is_level, levels):
+        present = [F.col(f"`{c}`").isNotNull() for c in level]
+        whole = F.when(test, reduce(lambda a, b: a & b, present)).otherwise(whole)
+        key = F.when(test, _group(level)).otherwise(key)
+        name = F.when(test, F.lit(" - ".join(level))).otherwise(name)
+    shares = [percent(F.col(n), F.col("n_reviews"), None).alias(n) for n in [*names, "rating_other"]]
+    measures = ["n_reviews", "avg_rating", "std_rating", *[f"n_{t}" for t in REVIEW_TYPES]]
+    return counts.filter(whole).select(name.alias("level"), key.alias("grp"), *measures, *shares)
+
+
 def rating_shares(df: DataFrame, by: str | list[str], group: str | None = None) -> DataFrame:
     """Shares above zero by group, high ratings first; one group if named."""
     wanted = df if group is None else df.filter(_group(by) == group)

@@ -36,6 +36,7 @@ LABEL_TASKS = [
     E.LabelTask("origin", "origin", "Origin of {text}, see {notes}", "Title"),
     E.LabelTask("fixed", "fixed", "Same for all", "Model"),
 ]
+GROUP_LEVELS = [["Brand"], ["Asin"], ["Model"], ["Asin", "Model"], ["Brand", "Asin", "Model"]]
 NO_WAIT = E.CallOptions(pause=0.0)
 
 
@@ -230,6 +231,11 @@ def group_report(spark, sf):
     )
 
 
+def group_levels(spark, sf):
+    """All groups of the statistics page, each of its levels, from one scan."""
+    return S.group_levels(T.branded_reviews(spark, sf), GROUP_LEVELS)
+
+
 # ------------------------------------------------------------------- words
 
 
@@ -496,6 +502,7 @@ def queries():
         "group_stats_brand_asin_model": _over(branded, lambda d: S.group_stats(d, ["Brand", "Asin", "Model"])),
         "group_report": group_report,
         "group_type_map": group_type_map,
+        "group_levels": group_levels,
         "rating_crosstab": _over(line, lambda d: S.rating_crosstab(d, "Asin")),
         "rating_crosstab_wide": _over(branded, lambda d: S.rating_crosstab_wide(d, "Brand")),
         "group_stats_multikey": _over(branded, lambda d: S.group_stats_multikey(d, ["Brand", "Model"])),

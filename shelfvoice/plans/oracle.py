@@ -149,6 +149,14 @@ def _group_stats(cte, view, key):
       {_half_even('stddev_samp("Rating")')} AS std_rating FROM {view} WHERE {key} IS NOT NULL GROUP BY {key}"""
 
 
+def _level(name, key):
+    types = ", ".join(f"""count(*) FILTER ("Review Type" = '{t}') AS n_{t}""" for t in ("positive", "neutral", "negative"))
+    shares = ", ".join(f"""{_share(f'count(*) FILTER ("Rating" = {r})', 'count("Rating")')} AS rating_{r}""" for r in range(1, 6))
+    other = _share('count(*) FILTER ("Rating" NOT IN (1, 2, 3, 4, 5))', 'count("Rating")')
+    return f"""SELECT '{name}' AS level, {key} AS grp, count("Rating") AS n_reviews, {_half_even('avg("Rating")')} AS avg_rating,
+      {_half_even('stddev_samp("Rating")')} AS std_rating, {types}, {shares}, {other} AS rating_other FROM branded WHERE {key} IS NOT NULL GROUP BY {key}"""
+
+
 def _crosstab(key, extra=""):
     return f"""WITH {LINE}, c AS (SELECT {key} AS grp, "Rating", count(*) AS n_reviews FROM line
       WHERE {key} IS NOT NULL AND "Rating" IS NOT NULL {extra} GROUP BY ALL)
@@ -279,6 +287,13 @@ def oracle_sql() -> dict[str, str]:
              SELECT g.*, "Review Type" AS review_type, count(*) AS n_of_type FROM g JOIN branded b ON g.grp = b."Brand"
              WHERE "Review Type" IS NOT NULL GROUP BY ALL""",
         "group_type_map": line + f"""SELECT {am} AS grp, "Review Type" AS review_type, count(*) AS n_reviews FROM line GROUP BY ALL""",
+        "group_levels": f"WITH {BRANDED} "
+        + " UNION ALL ".join(
+            _level(name, key)
+            for name, key in (
+                ("Brand", '"Brand"'), ("Asin", '"Asin"'), ("Model", '"Model"'), ("Asin - Model", am), ("Brand - Asin - Model", bam),
+            )
+        ),
         "rating_crosstab": _crosstab('"Asin"'),
         "rating_crosstab_wide": branded
         + 'SELECT "Brand" AS grp, '

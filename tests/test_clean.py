@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from shelfvoice.operators import brands as B
 from shelfvoice.operators import clean as C
+from shelfvoice.operators import joins
 from shelfvoice.operators import rowids as R
 from shelfvoice.plans.pipelines import process_reviews
 from shelfvoice.schema import PROCESSED, REQUIRED
@@ -138,3 +139,21 @@ def test_lexicon_and_word_files(spark, tmp_path):
     assert [tuple(r) for r in got] == [("m", "s", "a, b"), ("m", "t", "c")]
     assert [tuple(r) for r in readers.read_lexicon_json(spark, str(flat)).collect()] == [(None, "s", "a,b")]
     assert [r.word for r in readers.read_words_json(spark, str(words)).collect()] == ["x", "y"]
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_file_order_over_many_splits(spark, tmp_path, monkeypatch, small):
+    """Ids of many files of very unequal sizes, with offsets broadcast or joined by salted splits."""
+    if not small:
+        monkeypatch.setattr(joins, "BROADCAST_MAX_ROWS", 1)
+    path, at, sizes = str(tmp_path / "parts"), 0, [3, 1, 4000, 0, 7, 2, 900, 1, 1, 5]
+    for k, n in enumerate(sizes):
+        spark.range(at, at + n, numPartitions=1).withColumnRenamed("id", "place").write.parquet(f"{path}/part={k:03d}")
+        at += n
+    df = readers.with_position(spark.read.parquet(path), "parquet")
+    made = R.ids_in_file_order(df)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert ("_salt" in plan) != small
+    rows = made.select("ID", "place").collect()
+    assert sorted(r.ID for r in rows) == list(range(1, sum(sizes) + 1)) and all(r.ID == r.place + 1 for r in rows)
+    assert R.ids_in_file_order(df.limit(0)).collect() == []

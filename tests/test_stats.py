@@ -6,6 +6,7 @@ from shelfvoice.operators import filters as Q
 from shelfvoice.operators import profile as P
 from shelfvoice.operators import stats as S
 from shelfvoice.operators import words as V
+from shelfvoice.plans import views as T
 
 
 def rows(df):
@@ -127,3 +128,28 @@ def test_long_word_list_is_shuffled(spark, processed, monkeypatch):
 def test_cloud_weights(processed):
     got = {r.word: r.weight for r in V.cloud_weights(V.word_freq(processed), 3).collect()}
     assert got["taste"] == 1.0 and got["100"] == 0.25 and len(got) == 3
+
+
+def test_levels_equal_the_single_reports(spark):
+    rows = [("b", "p", "m", 5.0, "positive"), ("b", "p", None, 2.5, "neutral"), (None, "p", "m", None, None), ("b", "q", "m", 1.0, "negative")]
+    df = spark.createDataFrame(rows, "Brand string, Asin string, Model string, Rating double, `Review Type` string")
+    levels = [["Brand"], ["Asin"], ["Brand", "Asin", "Model"]]
+    got = {(r.level, r.grp): r for r in S.group_levels(df, levels).collect()}
+    wanted = {}
+    for level in levels:
+        for r in S.group_stats(df, level, with_types=True).collect():
+            wanted[" - ".join(level), r.grp] = r
+    assert set(got) == set(wanted)
+    for k, r in wanted.items():
+        assert (got[k].n_reviews, got[k].avg_rating, got[k].std_rating) == (r.n_reviews, r.avg_rating, r.std_rating)
+        assert {t: got[k][f"n_{t}"] for t in ("positive", "neutral", "negative") if got[k][f"n_{t}"]} == r.type_dist
+    for level in levels:
+        for r in S.rating_crosstab_wide(df, level).collect():
+            assert [got[" - ".join(level), r.grp][c] for c in r.asDict() if c != "grp"] == [r[c] for c in r.asDict() if c != "grp"]
+    assert S.group_levels(df.limit(0), levels).collect() == []
+
+
+def test_levels_scan_once(spark):
+    reviews = T.line_reviews(spark, "/root/testdata/sf0.001")
+    plan = S.group_levels(reviews, [["Asin"], ["Model"], ["Asin", "Model"]])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
