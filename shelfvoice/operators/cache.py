@@ -26,6 +26,9 @@ from shelfvoice.sources.readers import scan_files
 _LOG_SCHEMA = "version long, part string, parent string, replaces array<string>"
 #: Name in the log of the files directly under the folder.
 _PLAIN = "plain"
+_BLOOM = {"parquet.bloom.filter.enabled#cache_key": "true", "parquet.bloom.filter.adaptive.enabled": "true", "parquet.bloom.filter.candidates.number#cache_key": "10"}
+#: Keys up to which a lookup names them to the scan, and how many one list holds: a scan turns longer lists into a range.
+LOOKUP_KEYS, _LIST_KEYS = 1_000, 10
 CACHE_SCHEMA = "cache_key string, value string, written_at timestamp_ntz, status string, written_on date"
 
 
@@ -49,6 +52,20 @@ def valid_entries(cache: DataFrame, now=None, ttl_days: float = CACHE_TTL_DAYS)
     return newest.select("cache_key", "last.value", "last.written_at")
 
 
+def for_keys(cache: DataFrame, keys: DataFrame) -> DataFrame:
+    """The cache as far as ``keys``, a staged table of distinct keys, asks for it.
+
+    A few keys are named to the scan, which then skips the row groups and pages
+    that cannot hold them by Bloom filters and key ranges. More keys leave the
+    cache as it is: they touch most row groups, and the join decides alone.
+    """
+    if keys.count() > LOOKUP_KEYS:
+        return cache
+    named = sorted(r.cache_key for r in keys.filter("cache_key IS NOT NULL").collect())
+    lists = [F.col("cache_key").isin(named[k : k + _LIST_KEYS]) for k in range(0, len(named), _LIST_KEYS)]
+    return cache.filter(reduce(lambda a, b: a | b, lists, F.lit(False)))
+
+
 def split_requests(requests: DataFrame, cache: DataFrame, now=None, ttl_days: float = CACHE_TTL_DAYS) -> DataFrame:
     """Distinct requested keys with their cached value, if any, and ``is_hit``."""
     keys = requests.select("cache_key").distinct()
@@ -119,8 +136,10 @@ def append_results(results: DataFrame, path: str, now=None) -> None:
 
 
 def _write_part(table: DataFrame, path: str) -> str:
+    """A day's rows in key order, with a Bloom filter of the keys a row group, as large as its keys ask for."""
     part = uuid.uuid4().hex
-    table.write.partitionBy("written_on").parquet(f"{path}/part={part}")
+    ordered = table.sortWithinPartitions("written_on", "cache_key").write.partitionBy("written_on")
+    ordered.options(**_BLOOM).parquet(f"{path}/part={part}")
     return part
 
 

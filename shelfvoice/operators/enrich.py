@@ -29,7 +29,7 @@ from shelfvoice.functions.text import (
     render_prompt,
     trim_text,
 )
-from shelfvoice.operators.cache import append_results, read_cache, valid_entries
+from shelfvoice.operators.cache import append_results, for_keys, read_cache, valid_entries
 from shelfvoice.operators.joins import fits_broadcast, lookup_left
 from shelfvoice.schema import CACHE_TTL_DAYS, ERROR_PREVIEW_CHARS, MAX_RETRIES, RETRY_PAUSE_SECONDS, require_columns
 from shelfvoice.sources.workspace import stage, stage_rounds
@@ -149,8 +149,9 @@ def call_function(work: DataFrame, fn: BatchFunction, options: CallOptions) -> D
 
 def _known(asked: DataFrame, cache: DataFrame, now, ttl_days: float) -> DataFrame:
     """Distinct requested keys with their cached value; NULL where none is valid."""
-    valid = valid_entries(cache, now, ttl_days).select("cache_key", "value")
-    return stage(asked.select("cache_key").distinct().join(valid, "cache_key", "left"), "known")
+    keys = stage(asked.select("cache_key").distinct(), "asked-keys")
+    valid = valid_entries(for_keys(cache, keys), now, ttl_days).select("cache_key", "value")
+    return stage(keys.join(valid, "cache_key", "left"), "known")
 
 
 def _texts_of(asked: DataFrame, keys: DataFrame) -> DataFrame:

@@ -96,3 +96,39 @@ def test_a_plain_table_is_the_first_part(spark, tmp_path):
     assert "written_on=2024-06-01" in folders and "_log" not in folders
     K.clear_cache(spark, plain)
     assert held(spark, plain) == [] and K.read_cache(spark, plain, NOW, 30).count() == 0
+
+
+def rows_scanned(df):
+    found = df.collect()
+    leaves = df._jdf.queryExecution().executedPlan().collectLeaves()
+    return found, sum(leaves.apply(k).metrics().apply("numOutputRows").value() for k in range(leaves.size()))
+
+
+def test_few_keys_read_few_rows(spark, tmp_path):
+    path, n = str(tmp_path / "cache"), 120_000
+    rows = spark.range(n).select(F.md5(F.col("id").cast("string")).alias("cache_key"), F.col("id").cast("string").alias("value"), F.lit("done").alias("status"))
+    K.append_results(rows.repartition(2), path, NOW)
+    cache = K.read_cache(spark, path)
+
+    def keys(*ids):
+        return spark.createDataFrame([(i,) for i in ids], "id string").select(F.md5("id").alias("cache_key"))
+
+    found, scanned = rows_scanned(K.for_keys(cache, keys("7", "119999")))
+    assert {r.value for r in found} == {"7", "119999"} and 2 <= scanned < n
+    # A key between others that is not there: only the Bloom filters can tell.
+    found, scanned = rows_scanned(K.for_keys(cache, keys("absent")))
+    assert found == [] and scanned == 0
+    many = [str(i) for i in range(25)]
+    assert {r.value for r in K.for_keys(cache, keys(*many)).collect()} == set(many)
+    assert K.for_keys(cache, keys("7").limit(0)).collect() == []
+    assert K.for_keys(cache, spark.createDataFrame([(None,)], "cache_key string")).collect() == []
+
+
+def test_more_keys_leave_the_cache_whole(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "cache")
+    add(spark, path, "a", "b", "c")
+    monkeypatch.setattr(K, "LOOKUP_KEYS", 1)
+    asked = spark.createDataFrame([("a",), ("b",)], "cache_key string")
+    assert {r.cache_key for r in K.for_keys(K.read_cache(spark, path), asked).collect()} == {"a", "b", "c"}
+    part = next((tmp_path / "cache").glob("part=*/written_on=*/*.parquet"))
+    assert part.stat().st_size < 50_000, "a small part must not carry a large filter"
