@@ -1,10 +1,13 @@
 """Which texts hold which keywords, for lexicons of any size.
 
-Each keyword is keyed by its rarest gram, counted over the lexicon. The distinct
-grams of a text are joined to these keys by equality, and whether the text holds
-a keyword is decided only for the pairs that meet. Neither the lexicon nor a
-text's grams are ever collected; the work follows the texts' length and the hits,
-not the product of texts and keywords.
+Each keyword has a gram: itself, or of a long one its rarest run of ``GRAM``
+characters, counted over the lexicon. A Bloom filter of the grams goes to the
+tasks, which look up every place of a text there, for one length after the other
+and by rolling hashes in numpy. Only what the filter lets through leaves a task:
+once a text, and near to what the text does hold. It is then joined to the grams
+by equality, which decides; ``contains`` decides for the long keywords. Neither
+the lexicon nor a text's grams are ever collected, and texts shuffle for long
+keywords only.
 """
 
 from __future__ import annotations
@@ -17,9 +20,11 @@ from shelfvoice.operators.joins import fits_broadcast, salted_inner
 from shelfvoice.sources.workspace import stage
 
 #: Characters of a gram; a shorter keyword is its own gram.
-GRAM = 6
-#: Characters of a text whose distinct grams are made at a time.
-STRETCH = 4_096
+GRAM = 24
+#: Bytes of texts that are looked up at a time.
+STRETCH = 1 << 18
+#: Bits of the filter as a power of two: at least and at most, and how many more than the grams need.
+BLOOM_BITS, SPARE_BITS = (15, 28), 8
 
 
 def _grams(text: Column, length: int) -> Column:
@@ -37,55 +42,177 @@ def gram_keys(keywords: DataFrame, gram: int = GRAM) -> DataFrame:
     return known.join(rarest, "low").select(F.col("best.gram").alias("gram"), "low", "keyword")
 
 
-def text_grams(texts: DataFrame, lengths: list[int]) -> DataFrame:
-    """``(id, gram)`` of ``(id, low)``: the grams of these lengths, distinct within a stretch of the text."""
-    over = STRETCH + max(lengths) - 1
-    stretches = F.regexp_extract_all("low", F.lit(f"(?s)(?=(.{{1,{over}}})).{{1,{STRETCH}}}"), F.lit(1))
-    parts = texts.select("id", F.explode(stretches).alias("part"))
-    grams = F.array_distinct(F.concat(*(_grams(F.col("part"), n) for n in lengths)))
-    return parts.select("id", F.explode(grams).alias("gram"))
+def _scanner(lengths: list[int], bits: int, stretch: int):
+    """``(placed, found)``, both over batches of ``(id, binary)``: the filter's bits for whole values, and the runs of these lengths that the filter holds.
+
+    Nested, so that workers get it by value. A run's hash is a difference of
+    running sums, times the inverse of its place's power; all is modulo 2^64.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    u64 = np.uint64
+    factor, inverse = (u64(x) for x in (0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)))
+    mixes, shift = (u64(0xD6E8FEB86659FD93), u64(0xA0761D6478BD642F)), u64(64 - bits)
+    spread = np.random.default_rng(42).integers(1, 1 << 64, 256, u64, endpoint=False)
+
+    def powers(base: u64, n: int) -> np.ndarray:
+        out = np.full(n + 1, base, u64)
+        out[0] = 1
+        return np.cumprod(out, dtype=u64)
+
+    def sums(data: np.ndarray, ups: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(data) + 1, u64)
+        np.cumsum(spread[data] * ups[: len(data)], out=out[1:], dtype=u64)
+        return out
+
+    def parts(batch):
+        """``(first row, ends, bytes)`` of runs of rows that hold about ``stretch`` bytes, or of one longer row."""
+        column = batch.column(1).cast(pa.large_binary())
+        if not len(column):
+            return
+        offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+        data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+        row = 0
+        while row < len(column):
+            to = max(row + 1, int(np.searchsorted(offsets, offsets[row] + stretch, "right")) - 1)
+            yield row, offsets[row : to + 1] - offsets[row], data[offsets[row] : offsets[to]]
+            row = to
+
+    def placed(batches):
+        for batch in batches:
+            for _, ends, data in parts(batch):
+                ups, downs = powers(factor, len(data)), powers(inverse, len(data))
+                run = sums(data, ups)
+                hashed = (run[ends[1:]] - run[ends[:-1]]) * downs[ends[:-1]]
+                for mix in mixes:
+                    yield pa.RecordBatch.from_arrays([pa.array((hashed * mix >> shift).astype(np.int64))], ["bit"])
+
+    def found(held):
+        longest = max(lengths)
+
+        def has(at: np.ndarray, table: np.ndarray) -> np.ndarray:
+            return (table[at >> u64(3)] >> (at & u64(7)).astype(np.uint8)) & 1
+
+        def search(batches):
+            table = np.frombuffer(held.value, np.uint8)
+            ups, downs = powers(factor, stretch + longest), powers(inverse, stretch + longest)
+            firsts = downs * mixes[0]
+            for batch in batches:
+                for first, ends, data in parts(batch):
+                    hits = []
+                    for start in range(0, len(data), stretch):
+                        # Runs that begin in these bytes; they may end behind them.
+                        piece = data[start : start + stretch + longest - 1]
+                        run = sums(piece, ups)
+                        for n in lengths:
+                            size = min(stretch, len(piece) - n + 1)
+                            if size <= 0:
+                                continue
+                            hashed = run[n : n + size] - run[:size]
+                            at = np.flatnonzero(has(hashed * firsts[:size] >> shift, table))
+                            at = at[has(hashed[at] * downs[at] * mixes[1] >> shift, table) > 0]
+                            row = np.searchsorted(ends, at + start, "right") - 1
+                            whole = at + start + n <= ends[row + 1]
+                            at, row = at[whole], row[whole]
+                            if len(at):
+                                runs = np.lib.stride_tricks.sliding_window_view(piece, n)[at]
+                                flat = pa.FixedSizeBinaryArray.from_buffers(pa.binary(n), len(at), [None, pa.py_buffer(runs.tobytes())])
+                                hits.append(pa.table([pa.array(row + first), flat.cast(pa.binary())], ["row", "gram"]).group_by(["row", "gram"]).aggregate([]))
+                    if not hits:
+                        continue
+                    once = pa.concat_tables(hits)
+                    if len(data) > stretch:
+                        once = once.group_by(["row", "gram"]).aggregate([])
+                    once = once.combine_chunks()
+                    for made in pa.table([batch.column(0).take(once["row"].combine_chunks()), once["gram"]], ["id", "gram"]).to_batches(100_000):
+                        yield made
+
+        return search
+
+    return placed, found
+
+
+def text_grams(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """``(id, gram)`` of ``(id, low)``: what a text has of the grams of ``keys``, once for each row, and very little else."""
+    spark = texts.sparkSession
+    grams = keys.select(F.lit(0).alias("id"), F.col("gram").cast("binary").alias("gram")).distinct()
+    # As many numbers as a gram has bytes at most, and as many rows as the filter has blocks of 4 KB.
+    sizes = grams.groupBy(F.octet_length("gram").alias("n")).agg(F.count(F.lit(1)).alias("rows")).collect()
+    kind = texts.schema["id"].dataType.simpleString()
+    if not sizes:
+        return spark.createDataFrame([], f"id {kind}, gram binary")
+    bits = min(BLOOM_BITS[1], max(BLOOM_BITS[0], sum(r.rows for r in sizes).bit_length() + SPARE_BITS))
+    placed, found = _scanner(sorted(r.n for r in sizes), bits, STRETCH)
+    filled = bytearray(1 << (bits - 3))
+    blocks = grams.mapInArrow(placed, "bit long").groupBy(F.shiftright("bit", 15).alias("block"))
+    for row in blocks.agg(F.bitmap_construct_agg(F.col("bit").bitwiseAND(F.lit(32767).cast("long"))).alias("bits")).toLocalIterator():
+        filled[row.block * 4096 : row.block * 4096 + len(row.bits)] = row.bits
+    held = spark.sparkContext.broadcast(bytes(filled))
+    return texts.select("id", F.col("low").cast("binary").alias("low")).mapInArrow(found(held), f"id {kind}, gram binary")
+
+
+def _texts(df: DataFrame, column: str, id_col: str) -> DataFrame:
+    return df.select(F.col(f"`{id_col}`").alias("id"), F.lower(F.col(f"`{column}`")).alias("low")).filter("low IS NOT NULL")
+
+
+def _is_long() -> Column:
+    """Whether a gram is only a part of its keyword."""
+    return F.col("gram") != F.col("low")
+
+
+def _meet(grams: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows of both with the same gram. Keys go by broadcast if measured small; else a gram that very many texts have is split over salts."""
+    keys = keys.withColumn("gram", F.col("gram").cast("binary"))
+    if fits_broadcast(keys):
+        return grams.join(F.broadcast(keys), "gram")
+    return salted_inner(stage(grams, "text-grams"), keys, "gram", F.col("id"))
+
+
+def _held(texts: DataFrame, keys: DataFrame, *carried: str) -> DataFrame:
+    """``(id, *carried)`` for each text and row of ``keys`` whose keyword it holds."""
+    met = _meet(text_grams(texts, keys), keys)
+    if keys.filter(_is_long()).isEmpty():
+        return met.select("id", *carried)
+    met = stage(met.select("id", F.col("low").alias("sought"), F.length("gram").alias("n"), *carried), "met")
+    sure, seen = F.octet_length("sought") == F.col("n"), met.filter(F.octet_length("sought") > F.col("n")).distinct()
+    same = seen["id"].eqNullSafe(texts["id"]) & F.contains(texts["low"], seen["sought"])
+    checked = seen.join(texts, same).select(seen["id"], *carried)
+    return met.filter(sure).select("id", *carried).unionByName(checked)
 
 
 def held_keywords(df: DataFrame, keywords: DataFrame, column: str = "Content", id_col: str = "ID", gram: int = GRAM) -> DataFrame:
     """``(id, keyword)``, once for each text and distinct keyword that it holds anywhere, whatever the case.
 
     ``id_col`` must identify a row. Missing texts hold nothing, blank keywords
-    are in no text. Keys go by broadcast if measured small. Otherwise both sides
-    shuffle by gram, and a gram that very many texts have is split over salts.
+    are in no text.
     """
-    texts = df.select(F.col(f"`{id_col}`").alias("id"), F.lower(F.col(f"`{column}`")).alias("low")).filter("low IS NOT NULL")
-    keys = stage(gram_keys(keywords, gram), "gram-keys")
-    # As many numbers as a gram has characters at most.
-    lengths = sorted(r.n for r in keys.select(F.length("gram").alias("n")).distinct().collect())
-    if not lengths:
-        return df.select(F.col(f"`{id_col}`").alias("id"), F.lit("").alias("keyword")).limit(0)
-    grams = text_grams(texts, lengths)
-    if fits_broadcast(keys):
-        met = grams.join(F.broadcast(keys), "gram")
-    else:
-        # Most grams are in no key: those are left before the join counts its hot keys.
-        grams = stage(grams.join(keys.select("gram").distinct(), "gram", "left_semi"), "text-grams")
-        met = salted_inner(grams, keys, "gram", F.col("id"))
-    pairs = met.select("id", "low", "keyword").distinct().withColumnRenamed("low", "sought")
-    return pairs.join(texts, "id").filter(F.contains("low", "sought")).select("id", "keyword")
+    return _held(_texts(df, column, id_col), stage(gram_keys(keywords, gram), "gram-keys"), "keyword")
+
+
+def _category_keys(lexicon: DataFrame) -> DataFrame:
+    """``gram_keys`` with the categories of each keyword."""
+    entries = lexicon.select("main", "sub", "keyword").distinct()
+    return stage(gram_keys(entries).join(entries, "keyword").select("gram", "low", "main", "sub", "keyword"), "gram-keys")
 
 
 def lexicon_pairs(df: DataFrame, lexicon: DataFrame, column: str = "Content", id_col: str = "ID") -> DataFrame:
     """``(id, main, sub, keyword)``: one row for each text, category and keyword held."""
-    held = held_keywords(df, lexicon, column, id_col)
-    return held.join(lexicon.select("main", "sub", "keyword").distinct(), "keyword").select(F.col("id").alias(id_col), "main", "sub", "keyword")
+    held = _held(_texts(df, column, id_col), _category_keys(lexicon), "main", "sub", "keyword")
+    return held.withColumnRenamed("id", id_col)
 
 
 def keyword_frequency(df: DataFrame, lexicon: DataFrame, column: str = "Content", id_col: str = "ID") -> DataFrame:
     """``(main, sub, keyword, n)``: texts that hold each keyword; keywords in none are absent."""
-    counts = held_keywords(df, lexicon, column, id_col).groupBy("keyword").agg(F.count(F.lit(1)).alias("n"))
-    return counts.join(lexicon.select("main", "sub", "keyword").distinct(), "keyword").select("main", "sub", "keyword", "n")
+    held = _held(_texts(df, column, id_col), _category_keys(lexicon), "main", "sub", "keyword")
+    return held.groupBy("main", "sub", "keyword").agg(F.count(F.lit(1)).alias("n"))
 
 
 def category_stats(df: DataFrame, lexicon: DataFrame, column: str = "Content", id_col: str = "ID") -> DataFrame:
     """``(main, sub, matched, pct, unmatched)`` of every category of the lexicon, also of those in no text."""
-    found = lexicon_pairs(df, lexicon, column, id_col).select("main", "sub", id_col).distinct()
-    matched = found.groupBy("main", "sub").agg(F.count(F.lit(1)).alias("matched"))
+    keys = _category_keys(lexicon)
+    found = _held(_texts(df, column, id_col).filter("id IS NOT NULL"), keys.select("gram", "low", "main", "sub").distinct(), "main", "sub")
+    matched = found.distinct().groupBy("main", "sub").agg(F.count(F.lit(1)).alias("matched"))
     # One row with the number of texts.
     total = df.agg(F.count(F.lit(1)).alias("_n"))
     rows = lexicon.select("main", "sub").distinct().join(matched, ["main", "sub"], "left").fillna(0, ["matched"])

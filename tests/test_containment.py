@@ -54,3 +54,30 @@ def test_rarest_gram_is_the_key(spark):
     assert keys["abcdefgh"] == keys["ABCDEFGH"] != "abcdef" and keys["ab"] == "ab"
     shared = containment.gram_keys(lexicon).groupBy("gram").agg(F.countDistinct("low").alias("n")).agg(F.max("n")).first()[0]
     assert shared == 1
+
+
+def test_little_more_than_the_hits_leaves_the_tasks(spark):
+    """Texts of 4,000 places each send the grams they hold, once a row, and not their places."""
+    rnd = random.Random(5)
+    texts = ["".join(rnd.choice("abcdefgh ") for _ in range(4_000)) for _ in range(50)]
+    words = [texts[k][100 * k : 100 * k + 14] for k in range(40)] + ["ab", "ha"]
+    docs, lexicon = frames(spark, texts, [("m", "s", w) for w in words])
+    keys = containment.gram_keys(lexicon)
+    found = containment.text_grams(docs.selectExpr("ID AS id", "Content AS low"), keys).collect()
+    want = {(k, w.encode()) for k, w in held(texts, [("m", "s", w) for w in words])}
+    assert len(found) == len(set(found)) < len(want) + 100 and want <= {(r.id, bytes(r.gram)) for r in found}
+
+
+@pytest.mark.parametrize("bound", [2_000_000, 0])
+def test_long_keywords_and_rows_that_share_an_id(spark, monkeypatch, bound):
+    """Keywords beyond a gram, rows of one id with different texts, and a row without an id: each row counts for itself."""
+    monkeypatch.setattr("shelfvoice.operators.joins.BROADCAST_MAX_ROWS", bound)
+    long = "Eine Überschrift, die länger als ein Gramm ist"
+    texts = [(1, f"xx {long.upper()} yy {long}"), (1, "nur ein gramm"), (1, "nur ein gramm"), (None, f"{long} gramm"), (2, long[:-1]), (3, long[1:])]
+    docs = spark.createDataFrame(texts, "ID long, Content string")
+    entries = [("m", "s", long), ("m", "t", "gramm"), (None, "s", "nur")]
+    lexicon = spark.createDataFrame(entries, "main string, sub string, keyword string")
+    want = sorted((str(i), str(m), s, k) for i, t in texts for m, s, k in entries if k.lower() in t.lower())
+    assert sorted((str(r.ID), str(r.main), r.sub, r.keyword) for r in containment.lexicon_pairs(docs, lexicon).collect()) == want
+    counts = {(r.main, r.sub, r.keyword): r.n for r in containment.keyword_frequency(docs, lexicon).collect()}
+    assert counts == {("m", "s", long): 2, ("m", "t", "gramm"): 6, (None, "s", "nur"): 2}
