@@ -203,9 +203,18 @@ def lexicon_pairs(df: DataFrame, lexicon: DataFrame, column: str = "Content", id
 
 
 def keyword_frequency(df: DataFrame, lexicon: DataFrame, column: str = "Content", id_col: str = "ID") -> DataFrame:
-    """``(main, sub, keyword, n)``: texts that hold each keyword; keywords in none are absent."""
-    held = _held(_texts(df, column, id_col), _category_keys(lexicon), "main", "sub", "keyword")
-    return held.groupBy("main", "sub", "keyword").agg(F.count(F.lit(1)).alias("n"))
+    """``(main, sub, keyword, n)``: texts that hold each keyword; keywords in none are absent.
+
+    A gram's texts are counted before it meets the keywords that it is; only long keywords are paired with texts.
+    """
+    texts, keys = _texts(df, column, id_col), _category_keys(lexicon)
+    short, long = keys.filter(~_is_long()), keys.filter(_is_long())
+    counts = text_grams(texts, short).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    found = counts.join(short.withColumn("gram", F.col("gram").cast("binary")), "gram").select("main", "sub", "keyword", "n")
+    if long.isEmpty():
+        return found
+    paired = _held(texts, long, "main", "sub", "keyword").groupBy("main", "sub", "keyword").agg(F.count(F.lit(1)).alias("n"))
+    return found.unionByName(paired)
 
 
 def category_stats(df: DataFrame, lexicon: DataFrame, column: str = "Content", id_col: str = "ID") -> DataFrame:

@@ -81,3 +81,12 @@ def test_long_keywords_and_rows_that_share_an_id(spark, monkeypatch, bound):
     assert sorted((str(r.ID), str(r.main), r.sub, r.keyword) for r in containment.lexicon_pairs(docs, lexicon).collect()) == want
     counts = {(r.main, r.sub, r.keyword): r.n for r in containment.keyword_frequency(docs, lexicon).collect()}
     assert counts == {("m", "s", long): 2, ("m", "t", "gramm"): 6, (None, "s", "nur"): 2}
+
+
+def test_frequency_counts_grams_before_they_meet_keywords(spark):
+    """The only rows that the frequencies of short keywords move are counts, never pairs of a text and a keyword."""
+    docs, lexicon = frames(spark, ["a b", "b"] * 50, [("m", "s", "a"), ("m", "t", "b")])
+    made = containment.keyword_frequency(docs, lexicon)
+    assert {tuple(r) for r in made.collect()} == {("m", "s", "a", 50), ("m", "t", "b", 100)}
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Aggregate") < plan.index("MapInArrow")
