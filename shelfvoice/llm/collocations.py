@@ -13,25 +13,26 @@ level up is known, with its fate. Where fewer than ``top`` phrases survive the
 level falls, in the end to zero; where enough do, the language is settled, its
 last place and the ties of that place included.
 
-Texts are read as bytes. Each task counts into a dictionary of bounded size, and
-Spark adds up what the tasks send. What an expansion grows goes to the tasks as
-two bitmaps of fixed size: a chance hit counts a phrase too many, never one too few.
+Texts are read as bytes and words numbered by each task, which counts phrases as
+sorted numbers, boundedly many, and Spark adds up what the tasks send. What an
+expansion grows goes to the tasks as two bitmaps of fixed size: a chance hit
+counts a phrase too many, never one too few.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from itertools import compress
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfvoice.llm.common import col, ship, stage
 
-#: Entries a task counts before it sends them on, and pairs of a language whose fate it remembers.
-MAX_ENTRIES, MAX_REMEMBERED = 300_000, 50_000
+#: Places and phrases a task gathers before it sums them, and words it numbers; it sends all on if half as many phrases are left.
+MAX_ENTRIES, MAX_WORDS = 3_000_000, 400_000
+#: Bits of a word's number, and pairs of a language whose fate is remembered, as a power of two.
+WORD_BITS, REMEMBERED_BITS = 21, 19
 #: Bytes of text that a task copies at a time.
 MAX_BYTES = 4 << 20
 #: Bytes of text that are cut into words at a time.
@@ -53,13 +54,15 @@ _TABLE = bytes.maketrans(
 
 
 def _chunks(texts: list[bytes | None]):
-    """Lists of words, ``_BREAK`` wherever a phrase may not go on; a word is never cut."""
+    """Lists of ``MAX_WORDS`` words at most, ``_BREAK`` wherever a phrase may not go on; a word is never cut."""
     data = _BREAK.join(t for t in texts if t).translate(_TABLE)
     at = 0
     while at < len(data):
         to = data.find(b" ", at + CHUNK)
         to = len(data) if to < 0 else to
-        yield data[at:to].replace(_BREAK, b" \xff ").split()
+        words = data[at:to].replace(_BREAK, b" \xff ").split()
+        for k in range(0, len(words), MAX_WORDS):
+            yield words[k : k + MAX_WORDS]
         at = to
 
 
@@ -79,56 +82,129 @@ def _by_language(batch):
     yield from by.items()
 
 
-def _rows(counts: dict[tuple[str, int], Counter]):
-    """The counted phrases as rows; the counters are emptied."""
-    for (lang, words), counter in counts.items():
-        found = [p for p in counter if words == 0 or _BREAK not in p]
-        for at in range(0, len(found), 100_000):
-            part = found[at : at + 100_000]
-            phrases = part if words < 2 else [b" ".join(p) for p in part]
-            if words == 1:
-                phrases = [p[0] for p in part]
-            n = len(part)
-            columns = [pa.array([lang] * n, pa.string()), pa.array([words] * n, pa.int32()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array([counter[p] for p in part], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["lang", "words", "phrase", "f"])
-        counter.clear()
+class _Words(dict):
+    """Words to their numbers; ``_BREAK`` is 0."""
+
+    def __init__(self):
+        self.names = [_BREAK]
+        self[_BREAK] = 0
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = made = len(self.names)
+        self.names.append(word)
+        return made
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+
+class _Counts:
+    """Counts of one language's phrases; a phrase is the numbers of its words in one integer."""
+
+    def __init__(self):
+        self.phrases, self.counts, self.new = np.empty(0, np.int64), np.empty(0, np.int64), []
+
+    def summed(self) -> int:
+        """Sum what was added since; the phrases there are now."""
+        if self.new:
+            phrases, counts = np.unique(np.concatenate(self.new), return_counts=True)
+            phrases, counts = np.concatenate((self.phrases, phrases)), np.concatenate((self.counts, counts))
+            order = np.argsort(phrases, kind="stable")
+            phrases, counts = phrases[order], counts[order]
+            first = np.flatnonzero(np.concatenate(([True], phrases[1:] != phrases[:-1])))
+            self.phrases, self.counts, self.new = phrases[first], np.add.reduceat(counts, first), []
+        return len(self.phrases)
+
+
+class _Task:
+    """What a task has counted: numbered words, and counts by language."""
+
+    def __init__(self, n: int):
+        self.n, self.words, self.by, self.entries = n, _Words(), {}, 0
+
+    def add(self, lang: str, phrases: np.ndarray) -> None:
+        if len(phrases):
+            self.by.setdefault(lang, _Counts()).new.append(phrases)
+            self.entries += len(phrases)
+
+    def full(self) -> bool:
+        """Whether the counts must be sent on, and the words forgotten, before more is added."""
+        if self.entries > MAX_ENTRIES:
+            self.entries = sum(c.summed() for c in self.by.values())
+        return self.entries > MAX_ENTRIES // 2 or len(self.words) > MAX_WORDS
+
+    def rows(self):
+        """The counted phrases as rows; for pairs also their second words, each of which stands in one pair a place, and as no words at all how many there are."""
+        names = pa.array(self.words.names, pa.binary())
+        for lang, counts in self.by.items():
+            counts.summed()
+            parts = [counts.phrases >> WORD_BITS * k & (1 << WORD_BITS) - 1 for k in reversed(range(self.n))]
+            if self.n == 2:
+                ones = np.zeros(len(self.words), np.int64)
+                np.add.at(ones, parts[1], counts.counts)
+                ones[0] = 0
+                used = np.flatnonzero(ones)
+                yield from _rows(lang, 0, names, [], np.array([ones.sum()]))
+                yield from _rows(lang, 1, names, [used], ones[used])
+            whole = np.logical_and.reduce(parts)
+            yield from _rows(lang, self.n, names, [p[whole] for p in parts], counts.counts[whole])
+        self.words, self.by, self.entries = _Words(), {}, 0
+
+
+def _rows(lang: str, words: int, names: pa.Array, parts: list[np.ndarray], counts: np.ndarray):
+    for at in range(0, len(counts), 100_000):
+        n = min(100_000, len(counts) - at)
+        named = [names.take(pa.array(p[at : at + n])) for p in parts]
+        phrases = pc.binary_join_element_wise(*named, b" ") if named else pa.array([b""] * n, pa.binary())
+        columns = [pa.array([lang] * n, pa.string()), pa.array(np.full(n, words, np.int32)), phrases.cast(pa.string()), pa.array(counts[at : at + n])]
+        yield pa.RecordBatch.from_arrays(columns, ["lang", "words", "phrase", "f"])
 
 
 def _count_short(batches):
     """Task: counts of words and pairs, and as no words at all the number of words."""
-    counts: dict[tuple[str, int], Counter] = {}
+    task = _Task(2)
     for batch in batches:
         for lang, texts in _by_language(batch):
-            total, ones, twos = (counts.setdefault((lang, k), Counter()) for k in range(3))
             last = _BREAK
             for words in _chunks(texts):
-                before = [last, *words]
-                total[b""] += len(words) - words.count(_BREAK)
-                ones.update(zip(words))
-                twos.update(zip(before, words))
-                last = before[-1]
-                if sum(map(len, counts.values())) > MAX_ENTRIES:
-                    yield from _rows(counts)
-    yield from _rows(counts)
+                if task.full():
+                    yield from task.rows()
+                numbers = task.words.numbers([last, *words])
+                task.add(lang, numbers[:-1] << WORD_BITS | numbers[1:])
+                last = words[-1]
+    yield from task.rows()
 
 
-class _Grown(dict):
-    """Pair to 1 if triples that it begins are wanted, 2 if those that it ends are, 3 for both."""
+class _Grown:
+    """Pairs of numbers to 1 if triples that they begin are wanted, 2 if those that they end are, 3 for both."""
 
     def __init__(self, lang: str, begins: np.ndarray, ends: np.ndarray):
         self.lang, self.begins, self.ends = lang.encode(), begins, ends
+        self.forget()
+
+    def forget(self) -> None:
+        """Before words are numbered anew. A place remembers the last of its pairs, at first that of two breaks."""
+        self.pairs, self.kinds = np.zeros(1 << REMEMBERED_BITS, np.int64), np.zeros(1 << REMEMBERED_BITS, np.uint8)
 
-    def __missing__(self, pair: tuple[bytes, bytes]) -> int:
+    def of(self, pairs: np.ndarray, names: list[bytes]) -> np.ndarray:
         import xxhash
 
-        made = 0
-        if _BREAK not in pair:
-            h = xxhash.xxh64_intdigest(b" ".join((self.lang, *pair)), 42) & ((1 << FRONTIER_BITS) - 1)
-            made = (self.begins[h >> 3] >> (h & 7) & 1) | (self.ends[h >> 3] >> (h & 7) & 1) << 1
-        if len(self) > MAX_REMEMBERED:
-            self.clear()
-        self[pair] = made = int(made)
-        return made
+        places = (pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - REMEMBERED_BITS)).astype(np.int64)
+        kinds = np.where(self.pairs[places] == pairs, self.kinds[places], 255)
+        missing = np.flatnonzero(kinds == 255)
+        if len(missing):
+            new, where = np.unique(pairs[missing], return_inverse=True)
+            first, second = new >> WORD_BITS, new & (1 << WORD_BITS) - 1
+            start, low = self.lang + b" ", (1 << FRONTIER_BITS) - 1
+            digest = xxhash.xxh64_intdigest
+            bits = np.fromiter((digest(start + names[a] + b" " + names[b], 42) & low for a, b in zip(first.tolist(), second.tolist())), np.int64, len(new))
+            found = (self.begins[bits >> 3] >> (bits & 7) & 1 | (self.ends[bits >> 3] >> (bits & 7) & 1) << 1).astype(np.uint8)
+            found[(first == 0) | (second == 0)] = 0
+            kinds[missing] = made = found[where]
+            # Pair and kind of a place must be of one place: the last one written wins in both.
+            self.pairs[places[missing]] = pairs[missing]
+            self.kinds[places[missing]] = made
+        return kinds
 
 
 def _count_grown(begins, ends):
@@ -136,24 +212,26 @@ def _count_grown(begins, ends):
 
     def run(batches):
         first, second = (np.frombuffer(b.value, np.uint8) for b in (begins, ends))
-        counts: dict[tuple[str, int], Counter] = {}
-        wanted: dict[str, _Grown] = {}
+        task, wanted = _Task(3), {}
         for batch in batches:
             for lang, texts in _by_language(batch):
                 if len(wanted) > 8 and lang not in wanted:
                     wanted.clear()
                 grown = wanted.get(lang) or wanted.setdefault(lang, _Grown(lang, first, second))
-                counter = counts.setdefault((lang, 3), Counter())
                 tail = [_BREAK, _BREAK]
                 for words in _chunks(texts):
+                    if task.full():
+                        yield from task.rows()
+                        for known in wanted.values():
+                            known.forget()
                     words = tail + words
-                    kinds = np.fromiter(map(grown.__getitem__, zip(words, words[1:])), np.uint8, len(words) - 1)
-                    keep = (kinds[:-1] & 1) | (kinds[1:] & 2)
-                    counter.update(compress(zip(words, words[1:], words[2:]), keep.tolist()))
+                    numbers = task.words.numbers(words)
+                    pairs = numbers[:-1] << WORD_BITS | numbers[1:]
+                    kinds = grown.of(pairs, task.words.names)
+                    keep = np.flatnonzero((kinds[:-1] & 1 | kinds[1:] & 2) > 0)
+                    task.add(lang, pairs[keep] << WORD_BITS | numbers[keep + 2])
                     tail = words[-2:]
-                    if sum(map(len, counts.values())) > MAX_ENTRIES:
-                        yield from _rows(counts)
-        yield from _rows(counts)
+        yield from task.rows()
 
     return run
 

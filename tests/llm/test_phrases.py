@@ -118,3 +118,37 @@ def test_bitmap_holds_the_pairs(spark):
         h = xxhash.xxh64_intdigest(" ".join(pair).encode(), 42) & ((1 << collocations.FRONTIER_BITS) - 1)
         assert bits[h >> 3] >> (h & 7) & 1
     assert sum(b.bit_count() for b in bits) <= 500
+
+
+def _summed(made):
+    got = {}
+    for rows in made:
+        for lang, words, phrase, f in zip(*(c.to_pylist() for c in rows.columns)):
+            if words:
+                got[lang, phrase] = got.get((lang, phrase), 0) + f
+    return got
+
+
+class _All:
+    value = bytes([255]) * (1 << (collocations.FRONTIER_BITS - 3))
+
+
+@pytest.mark.parametrize("entries,words,remembered", [(3_000_000, 5, 19), (40, 400_000, 2), (7, 6, 1)])
+def test_words_numbered_anew_lose_no_phrase(monkeypatch, entries, words, remembered):
+    """Counts sent on, words numbered anew and pairs forgotten in the midst of texts, and texts without a blank."""
+    for name, value in (("MAX_ENTRIES", entries), ("MAX_WORDS", words), ("REMEMBERED_BITS", remembered), ("CHUNK", 30)):
+        monkeypatch.setattr(collocations, name, value)
+    rows = corpus(11, 40) + [("\n".join(f"u{k}\tv{k % 7}" for k in range(300)), "en"), (".".join(f"x{k % 50}" for k in range(400)), None)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([lang for _, lang in part]), pa.array([t for t, _ in part])], ["lang", "text"]) for part in (rows[:20], rows[20:])]
+    want = {(lang, " ".join(p)): (len(p), n) for lang, f in counted(rows).items() for p, n in f.items()}
+    assert _summed(collocations._count_short(batches)) == {k: n for k, (size, n) in want.items() if size < 3}
+    assert _summed(collocations._count_grown(_All, _All)(batches)) == {k: n for k, (size, n) in want.items() if size == 3}
+
+
+def test_a_task_sends_each_phrase_once():
+    """A task of a million places and half as many phrases: what it sends is not the same pair again and again."""
+    rnd = random.Random(2)
+    texts = [" ".join(f"w{rnd.randrange(700)}" for _ in range(10_000)) for _ in range(100)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * len(texts)), pa.array(texts)], ["lang", "text"])
+    sent = sum(rows.num_rows for rows in collocations._count_short([batch]))
+    assert sent == sum(len(f) for f in [{(a, b) for t in texts for w in [t.split()] for a, b in zip(w, w[1:])}]) + 700 + 1
