@@ -22,9 +22,9 @@ from shelfvoice.sources.workspace import stage
 #: Characters of a gram; a shorter keyword is its own gram.
 GRAM = 24
 #: Bytes of texts that are looked up at a time.
-STRETCH = 1 << 18
+STRETCH = 1 << 16
 #: Bits of the filter as a power of two: at least and at most, and how many more than the grams need.
-BLOOM_BITS, SPARE_BITS = (15, 28), 8
+BLOOM_BITS, SPARE_BITS = (15, 28), 6
 
 
 def _grams(text: Column, length: int) -> Column:
@@ -47,13 +47,20 @@ def _scanner(lengths: list[int], bits: int, stretch: int):
 
     Nested, so that workers get it by value. A run's hash is a difference of
     running sums, times the inverse of its place's power; all is modulo 2^64.
+    Lengths from one power of two to the next share a look-up: the filter also
+    has how each value begins, as far as the least of those lengths, and only
+    places that pass are looked up for each length.
     """
     import numpy as np
     import pyarrow as pa
 
     u64 = np.uint64
     factor, inverse = (u64(x) for x in (0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)))
-    mixes, shift = (u64(0xD6E8FEB86659FD93), u64(0xA0761D6478BD642F)), u64(64 - bits)
+    mixes, shift = [u64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)], u64(64 - bits)
+    classes: dict[int, list[int]] = {}
+    for n in sorted(lengths):
+        classes.setdefault(n.bit_length(), []).append(n)
+    begin = np.array([classes[n.bit_length()][0] if n.bit_length() in classes else n for n in range(max(lengths) + 1)])
     spread = np.random.default_rng(42).integers(1, 1 << 64, 256, u64, endpoint=False)
 
     def powers(base: u64, n: int) -> np.ndarray:
@@ -84,9 +91,11 @@ def _scanner(lengths: list[int], bits: int, stretch: int):
             for _, ends, data in parts(batch):
                 ups, downs = powers(factor, len(data)), powers(inverse, len(data))
                 run = sums(data, ups)
-                hashed = (run[ends[1:]] - run[ends[:-1]]) * downs[ends[:-1]]
-                for mix in mixes:
-                    yield pa.RecordBatch.from_arrays([pa.array((hashed * mix >> shift).astype(np.int64))], ["bit"])
+                starts = ends[:-1]
+                for to in (ends[1:], starts + begin[ends[1:] - starts]):
+                    hashed = (run[to] - run[starts]) * downs[starts]
+                    for mix in mixes:
+                        yield pa.RecordBatch.from_arrays([pa.array((hashed * mix >> shift).astype(np.int64))], ["bit"])
 
     def found(held):
         longest = max(lengths)
@@ -94,6 +103,24 @@ def _scanner(lengths: list[int], bits: int, stretch: int):
         def has(at: np.ndarray, table: np.ndarray) -> np.ndarray:
             return (table[at >> u64(3)] >> (at & u64(7)).astype(np.uint8)) & 1
 
+        def passed(run: np.ndarray, downs: np.ndarray, at: np.ndarray, n: int, table: np.ndarray, untried: list) -> np.ndarray:
+            """Those of the places where the filter holds a run of ``n`` bytes."""
+            at = at[at + n < len(run)]
+            hashed = (run[at + n] - run[at]) * downs[at]
+            for mix in untried:
+                held = np.flatnonzero(has(hashed * mix >> shift, table))
+                at, hashed = at[held], hashed[held]
+            return at
+
+        def runs(piece: np.ndarray, n: int, at: np.ndarray, start: int, first: int, ends: np.ndarray) -> pa.Table:
+            """``(row, gram)`` of the runs at these places that lie in one row."""
+            row = np.searchsorted(ends, at + start, "right") - 1
+            inside = at + start + n <= ends[row + 1]
+            at, row = at[inside], row[inside]
+            made = np.lib.stride_tricks.sliding_window_view(piece, n)[at]
+            flat = pa.FixedSizeBinaryArray.from_buffers(pa.binary(n), len(at), [None, pa.py_buffer(made.tobytes())])
+            return pa.table([pa.array(row + first), flat.cast(pa.binary())], ["row", "gram"])
+
         def search(batches):
             table = np.frombuffer(held.value, np.uint8)
             ups, downs = powers(factor, stretch + longest), powers(inverse, stretch + longest)
@@ -105,26 +132,20 @@ def _scanner(lengths: list[int], bits: int, stretch: int):
                         # Runs that begin in these bytes; they may end behind them.
                         piece = data[start : start + stretch + longest - 1]
                         run = sums(piece, ups)
-                        for n in lengths:
-                            size = min(stretch, len(piece) - n + 1)
+                        for least, *others in classes.values():
+                            size = min(stretch, len(piece) - least + 1)
                             if size <= 0:
                                 continue
-                            hashed = run[n : n + size] - run[:size]
+                            hashed = run[least : least + size] - run[:size]
                             at = np.flatnonzero(has(hashed * firsts[:size] >> shift, table))
-                            at = at[has(hashed[at] * downs[at] * mixes[1] >> shift, table) > 0]
-                            row = np.searchsorted(ends, at + start, "right") - 1
-                            whole = at + start + n <= ends[row + 1]
-                            at, row = at[whole], row[whole]
-                            if len(at):
-                                runs = np.lib.stride_tricks.sliding_window_view(piece, n)[at]
-                                flat = pa.FixedSizeBinaryArray.from_buffers(pa.binary(n), len(at), [None, pa.py_buffer(runs.tobytes())])
-                                hits.append(pa.table([pa.array(row + first), flat.cast(pa.binary())], ["row", "gram"]).group_by(["row", "gram"]).aggregate([]))
+                            begun = passed(run, downs, at, least, table, mixes[1:])
+                            each = [(least, begun), *((n, passed(run, downs, begun, n, table, mixes)) for n in others)]
+                            hits += [runs(piece, n, at, start, first, ends) for n, at in each if len(at)]
+                        if start:
+                            hits = [pa.concat_tables(hits).group_by(["row", "gram"]).aggregate([])] if hits else []
                     if not hits:
                         continue
-                    once = pa.concat_tables(hits)
-                    if len(data) > stretch:
-                        once = once.group_by(["row", "gram"]).aggregate([])
-                    once = once.combine_chunks()
+                    once = pa.concat_tables(hits).group_by(["row", "gram"]).aggregate([]).combine_chunks()
                     for made in pa.table([batch.column(0).take(once["row"].combine_chunks()), once["gram"]], ["id", "gram"]).to_batches(100_000):
                         yield made
 

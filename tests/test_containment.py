@@ -90,3 +90,15 @@ def test_frequency_counts_grams_before_they_meet_keywords(spark):
     assert {tuple(r) for r in made.collect()} == {("m", "s", "a", 50), ("m", "t", "b", 100)}
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join") < plan.index("Aggregate") < plan.index("MapInArrow")
+
+
+def test_lengths_share_a_look_up_and_lose_nothing(spark, monkeypatch):
+    """Keywords of every length in bytes up to 40, many of which begin alike, in rows longer and shorter than a stretch."""
+    monkeypatch.setattr(containment, "STRETCH", 64)
+    rnd = random.Random(7)
+    texts = ["".join(rnd.choice("abé") for _ in range(rnd.choice([3, 30, 700]))) for _ in range(60)]
+    entries = [("m", "s", texts[k][at : at + n]) for k in range(20) for n in range(1, 24) for at in (0, 9)] + [("m", "s", "ab" * k) for k in range(1, 12)]
+    entries = [e for e in entries if e[2]]
+    docs, lexicon = frames(spark, texts, entries)
+    got = [(r.id, r.keyword) for r in containment.held_keywords(docs, lexicon).collect()]
+    assert len(got) == len(set(got)) and set(got) == held(texts, entries)
